@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.ids import id_order, norm_id, sql_norm_id, trimmed
-from tidewheel.llm import bpe, mixing, sketch, topn
+from tidewheel.llm import bpe, mixing, pages, sketch, topn
 from tidewheel.session import checkpoint
 
 #: Problem 5: precision of the per-director sketches and of the others; standard errors that decide without an exact check.
@@ -128,7 +128,12 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mixed(spark, sf)[1]
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_days, p5_kinds, p6_found, p8_ids, p9_mix, p9_shares)}
+# ---------------------------------------------------------------- problem 10
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.spam_pages(table(spark, sf, "documents")).where("spam").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_days, p5_kinds, p6_found, p8_ids, p9_mix, p9_shares, p10_found)}
 
 ORACLES = {
     "p5_found": f"""with edges as (select {sql_norm_id('dirid_starting')} as d, {sql_norm_id('dirid_connected')} as c, start_year from raw_edges),
