@@ -38,7 +38,8 @@ _LABEL = re.compile(r"(?:^|(?<=\s)|(?<=[^\W\d_]))[#@+](?=[^\W\d_])|<li>|\[[^\W\d
 _PRICE = re.compile(r"(?:[$€£¥]|EUR|USD|GBP) ?\d")
 _DATA = re.compile(r"[A-Za-z0-9+/=]{80,}")
 _LIST = re.compile(r"\w+ = \[")
-_SENTENCE = re.compile(r"[.?!。？！]\s*$")
+#: First characters of lines that may be markers or have a prefix.
+_FIRST = frozenset("#IO`~")
 
 
 def _texts(x) -> str:
@@ -60,13 +61,15 @@ def blocks(text: str) -> list[str]:
         except (ValueError, TypeError, KeyError, RecursionError):
             text = text.replace("\\n", "\n")
     out, block, short = [], [], False
-    for line in [*_COLOURS.sub("", text).splitlines(), ""]:
-        line = "" if _MARKER.match(line) else _PREFIX.sub("", line, count=1).strip()
+    for line in [*(_COLOURS.sub("", text) if "[" in text else text).splitlines(), ""]:
+        line = line.strip()
+        if line[:1] in _FIRST:
+            line = "" if _MARKER.match(line) else _PREFIX.sub("", line, count=1) if line[:1] == "#" else line
         if line:
             block.append(line)
         elif block:
             whole = "\n".join(block)
-            now = len(whole) < 100 and not _SENTENCE.search(whole)
+            now = len(whole) < 100 and not whole[-1] in ".?!。？！"
             if now and short and len(out[-1]) < 2000:
                 out[-1] += "\n" + whole
             else:
@@ -76,11 +79,15 @@ def blocks(text: str) -> list[str]:
 
 
 def words(block: str) -> list[str]:
-    return _WORD.findall(_TAG.sub(" ", _URL.sub(" ", block)).lower())
+    if "://" in block:
+        block = _URL.sub(" ", block)
+    if "<" in block:
+        block = _TAG.sub(" ", block)
+    return _WORD.findall(block.lower())
 
 
 def _is_prose(block: str) -> bool:
-    return bool(_SENTENCE.search(block)) and sum(map(block.count, "(){}[]=_<>'\"`$\\|*^%+")) < 0.05 * len(block)
+    return block[-1:] in ".?!。？！" and sum(map(block.count, "(){}[]=_<>'\"`$\\|*^%+")) < 0.05 * len(block)
 
 
 def _language(c: str):
@@ -139,11 +146,15 @@ def block_statistics(pages: DataFrame, lexicon: dict[str, set[str]]) -> DataFram
                     if (m := _DATA.search(b)) and sum(map(m[0].count, "0123456789")) > 0.03 * len(m[0]):  # embedded images are neither prose nor spam
                         rest += len(b)
                         continue
-                    count = Counter(words(b))
-                    n, chars = sum(count.values()), len(b)
-                    listed = _listed(b, n, count, lexicon, chars)
+                    chars = len(b)
                     plain = sum(map(b.count, "0123456789")) < 0.01 * chars and sum(map(b.count, "()[]{}=")) < 0.012 * chars
-                    prose = n >= 8 and _is_prose(b)
+                    prose, maybe = _is_prose(b), _maybe_listed(b)
+                    if not plain and not prose and not maybe:
+                        rest += chars
+                        continue
+                    count = Counter(words(b))
+                    n = sum(count.values())
+                    listed, prose = maybe and _listed(b, n, count, lexicon), prose and n >= 8
                     if not listed and not prose and not (plain and n >= LEAST_WORDS):
                         rest += chars
                         continue
@@ -169,14 +180,18 @@ def _best(count: Counter, n: int, lang: str, lexicon: dict[str, set[str]]) -> tu
     return best, most / n if n else 0.0
 
 
-def _listed(b: str, n: int, count: Counter, lexicon: dict[str, set[str]], chars: int) -> bool:
-    """Bare links, prices or tags rather than sentences."""
+def _maybe_listed(b: str) -> bool:
+    """Cheap necessary condition of _listed."""
+    return "://" in b or any(map(b.__contains__, "$€£¥#@+")) or "EUR" in b or "USD" in b or "GBP" in b or "<li>" in b or b.count("[") > 2
+
+
+def _listed(b: str, n: int, count: Counter, lexicon: dict[str, set[str]]) -> bool:
+    """Bare links, prices or labels rather than sentences."""
     links = _URL.findall(b) if "://" in b else []
-    if links and sum(map(len, links)) > 0.3 * chars and not _LIST.match(b):
+    if links and sum(map(len, links)) > 0.3 * len(b) and not _LIST.match(b):
         if n <= 4 * len(links) or len(links) >= 3 and _best(count, n, "", lexicon)[1] < 0.12:
             return True
-    lines = b.count("\n") + 1
-    if len(_PRICE.findall(b)) > 0.5 * lines:
+    if len(_PRICE.findall(b)) > 0.5 * (b.count("\n") + 1):
         return True
     labels = len(_LABEL.findall(b))
     return labels > 0 and labels > 0.3 * len(_RUN.findall(b))
