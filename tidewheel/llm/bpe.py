@@ -23,8 +23,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same for texts of ASCII alone.
 ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
+#: The same for texts without characters of which the two regular expression engines think differently.
+COMMON_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
 #: Encoded pre-tokens that a worker remembers, and their greatest length; a full memory is emptied.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 600_000, 64
 
 
 class PerfectHash:
@@ -85,6 +87,7 @@ class ByteBPE:
 
     def __init__(self, tokens: list[bytes]):
         self.tokens, self.hash = tokens, PerfectHash(tokens)
+        self.single = [self.token_id(bytes([c])) for c in range(256)]
 
     @classmethod
     def load(cls, path: str) -> ByteBPE:
@@ -95,29 +98,43 @@ class ByteBPE:
             raise ValueError(f"{path}: ids aren't 0, 1, 2, ...")
         return cls([t for _, t in ranks])
 
+    def __getstate__(self) -> dict:
+        return {"tokens": self.tokens, "hash": self.hash, "single": self.single}
+
     def token_id(self, piece: bytes) -> int:
         i = self.hash.index(piece)
         return i if self.tokens[i] == piece else -1
 
+    def recent_id(self, piece: bytes) -> int:
+        """token_id, remembered: the same few pairs are looked up again and again while merging."""
+        seen = self.__dict__.setdefault("_seen", {})
+        i = seen.get(piece)
+        if i is None:
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            i = seen[piece] = self.token_id(piece)
+        return i
+
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a pre-token: whole if it is a token, else by merging the pair of least id, the leftmost first."""
         whole = self.token_id(piece)
         if whole >= 0:
             return (whole,)
-        n, look = len(piece), self.token_id
+        n, look = len(piece), self.recent_id
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # linked starts of the parts
+        ids = [self.single[c] for c in piece]
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := look(piece[i : i + 2])) >= 0]
         heapq.heapify(heap)
         gone = bytearray(n + 1)
         while heap:
-            _, i, end = heapq.heappop(heap)
+            rank, i, end = heapq.heappop(heap)
             if gone[i]:
                 continue
             j = after[i]
             if j >= n or after[j] != end:  # one of the two parts has changed since
                 continue
             gone[j] = 1
-            after[i] = end
+            after[i], ids[i] = end, rank
             if end < n:
                 before[end] = i
                 if (r := look(piece[i : after[end]])) >= 0:
@@ -127,7 +144,7 @@ class ByteBPE:
                 heapq.heappush(heap, (r, p, end))
         out, i = [], 0
         while i < n:
-            out.append(look(piece[i : after[i]]))
+            out.append(ids[i])
             i = after[i]
         return tuple(out)
 
@@ -150,14 +167,23 @@ class _Memory(dict):
 
 @lru_cache(maxsize=1)
 def _patterns():
+    """Splitters of ASCII, common and other texts, and the characters that make a text an other one.
+
+    Those are numbers that aren't decimal digits, and the separators that only Python takes for white space.
+    """
+    import sys
+    import unicodedata
+
     import regex
 
-    return re.compile(ASCII_PATTERN, re.ASCII), regex.compile(PATTERN)
+    odd = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No") or "\x1c" <= c <= "\x1f")
+    return re.compile(ASCII_PATTERN, re.ASCII).findall, re.compile(COMMON_PATTERN).findall, regex.compile(PATTERN).findall, odd
 
 
 def encode_text(memory: _Memory, text: str) -> Iterator[int]:
-    ascii_only, full = _patterns()
-    return chain.from_iterable(map(memory.__getitem__, (ascii_only if text.isascii() else full).findall(text)))
+    plain, common, full, odd = _patterns()
+    split = plain if text.isascii() else common if odd.isdisjoint(text) else full
+    return chain.from_iterable(map(memory.__getitem__, split(text)))
 
 
 def encoder(bpe: ByteBPE) -> _Memory:
