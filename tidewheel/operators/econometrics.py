@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewheel.functions.distributions import normal_two_sided, t_two_sided
 from tidewheel.functions.stats import clean
@@ -90,9 +91,9 @@ def simple_regression(df: DataFrame, y: str, x: str, date: str, by: list[str] |
     return s.select(*keys, a.alias("coef_const"), F.col("b").alias("coef_x"), F.try_divide(a, se_a).alias("tstat_const"), F.try_divide(F.col("b"), se_b).alias("tstat_x"), (1 - F.try_divide(rss, F.col("syy"))).alias("r_squared"), "n_obs")
 
 
-@F.udf("double")
-def _p_normal(t):
-    return normal_two_sided(t)
+def _p_normal(t: str) -> Column:
+    """Two-sided normal p-value; applied to one row per series."""
+    return F.udf(normal_two_sided, T.DoubleType())(t)
 
 
 def newey_west(series: DataFrame, date: str, value: str, lags: int = 3, by: list[str] | None = None) -> DataFrame:

@@ -29,8 +29,8 @@ def asof_edges(edges: DataFrame, year: int, mode: str, source: str, target: str,
     return e.select(source, target).distinct()
 
 
-def _undirected(edges: DataFrame, source: str, target: str, *rest: str) -> DataFrame:
-    return edges.select(F.least(source, target).alias("a"), F.greatest(source, target).alias("b"), *rest)
+def _undirected(edges: DataFrame, source: str, target: str, **rest: str) -> DataFrame:
+    return edges.select(F.least(source, target).alias("a"), F.greatest(source, target).alias("b"), *[F.col(c).alias(name) for name, c in rest.items()])
 
 
 def yearly_pairs(edges: DataFrame, mode: str, first: int, last: int, source: str, target: str, start: str, end: str) -> DataFrame:
@@ -40,12 +40,12 @@ def yearly_pairs(edges: DataFrame, mode: str, first: int, last: int, source: str
     over their own years only.
     """
     if mode == "cumulative":
-        p = _undirected(edges, source, target, start).groupBy("a", "b").agg(F.min(start).alias("s")).where(F.col("s") <= last)
+        p = _undirected(edges, source, target, begun=start).groupBy("a", "b").agg(F.min("begun").alias("s")).where(F.col("s") <= last)
         return p.select(F.explode(F.sequence(F.greatest(F.col("s"), F.lit(first)).cast("int"), F.lit(last))).alias("year"), "a", "b")
     if mode != "active":
         raise ValueError(f"unknown mode {mode!r}")
-    lo, hi = F.greatest(F.col(start), F.lit(first)).cast("int"), F.least(F.coalesce(F.col(end), F.lit(last)), F.lit(last)).cast("int")
-    p = _undirected(edges, source, target, start, end).select("a", "b", lo.alias("lo"), hi.alias("hi")).where("lo <= hi").distinct()
+    lo, hi = F.greatest(F.col("begun"), F.lit(first)).cast("int"), F.least(F.coalesce("ended", F.lit(last)), F.lit(last)).cast("int")
+    p = _undirected(edges, source, target, begun=start, ended=end).select("a", "b", lo.alias("lo"), hi.alias("hi")).where("lo <= hi").distinct()
     return p.select(F.explode(F.sequence("lo", "hi")).alias("year"), "a", "b").distinct()
 
 
@@ -115,10 +115,11 @@ def local_metrics(pairs: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def pagerank(pairs: DataFrame, by: list[str], damping: float = 0.85, iterations: int = 50, tolerance: float = 1e-10, every: int = 8) -> DataFrame:
+def pagerank(pairs: DataFrame, by: list[str], damping: float = 0.85, iterations: int = 50, tolerance: float = 1e-10, every: int = 4) -> DataFrame:
     """by, node_id, pagerank of each snapshot: uniform teleport, dangling mass spread evenly, sums to 1.
 
-    Lineage is cut in the shared checkpoint folder every few rounds, where the change is also tested.
+    A round uses the one before several times, so each round's table (a narrow row per node) is written to the shared
+    checkpoint folder; every few rounds the change is tested.
     """
     adj = adjacency(pairs, by).distinct()
     deg = adj.groupBy(*by, "i").agg(F.count(F.lit(1)).alias("d"))
@@ -133,9 +134,8 @@ def pagerank(pairs: DataFrame, by: list[str], damping: float = 0.85, iterations:
         new = base.join(gain, [*by, "i"], "left")
         new = new.join(F.broadcast(lost), by, "left") if by else new.join(F.broadcast(lost), F.lit(True), "left")
         r = (1 - damping) / F.col("n") + damping * (F.coalesce("g", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) / F.col("n"))
-        new = new.select(*by, "i", "n", "d", r.alias("r"))
+        new = checkpoint(new.select(*by, "i", "n", "d", r.alias("r")))
         if step % every == 0 and step < iterations:
-            new = checkpoint(new)
             if tolerance:
                 delta = new.alias("x").join(rank.select(*by, "i", F.col("r").alias("was")), [*by, "i"]).groupBy(*by).agg(F.sum(F.abs(F.col("r") - F.col("was"))).alias("e")).agg(F.max("e")).first()[0]
                 if (delta or 0.0) < tolerance:
@@ -145,18 +145,17 @@ def pagerank(pairs: DataFrame, by: list[str], damping: float = 0.85, iterations:
     return rank.select(*by, F.col("i").alias("node_id"), F.col("r").alias("pagerank"))
 
 
-def eigenvector(pairs: DataFrame, by: list[str], norm: str = "max", iterations: int = 100, tolerance: float = 1e-9, every: int = 8) -> DataFrame:
+def eigenvector(pairs: DataFrame, by: list[str], norm: str = "max", iterations: int = 100, tolerance: float = 1e-9, every: int = 4) -> DataFrame:
     """by, node_id, eigenvector_centrality by power iteration on A + I; scaled to maximum 1 ('max') or length 1 ('l2')."""
     adj = adjacency(pairs, by).distinct().persist()
     v = nodes(pairs, by).withColumn("v", F.lit(1.0))
     for step in range(1, iterations + 1):
         gain = adj.join(v.select(*by, F.col("i").alias("j"), "v"), [*by, "j"]).groupBy(*by, "i").agg(F.sum("v").alias("g"))
-        new = v.join(gain, [*by, "i"], "left").withColumn("w", F.col("v") + F.coalesce("g", F.lit(0.0)))
+        new = checkpoint(v.join(gain, [*by, "i"], "left").withColumn("w", F.col("v") + F.coalesce("g", F.lit(0.0))))
         top = new.groupBy(*by).agg(F.max("w").alias("top"))
         new = new.join(F.broadcast(top), by) if by else new.crossJoin(F.broadcast(top))
         new = new.select(*by, "i", (F.col("w") / F.col("top")).alias("w"), "v")
-        if step % every == 0 or step == iterations:
-            new = checkpoint(new)
+        if step % every == 0:
             if (new.agg(F.max(F.abs(F.col("w") - F.col("v")))).first()[0] or 0.0) < tolerance:
                 v = new.select(*by, "i", F.col("w").alias("v"))
                 break
