@@ -75,3 +75,10 @@ def test_complete_graph(spark):
     k4 = pairs(spark, itertools.combinations("ABCD", 2))
     m = graph.local_metrics(k4, [])
     assert set(of(m, "clustering").values()) == {1.0} and graph.triangles(k4, []).count() == 4
+
+
+def test_all_metrics(spark):
+    e = spark.createDataFrame([("A", "B"), ("B", "A"), ("B", "C"), (None, "C")], "s string, t string")
+    m = {r["node_id"]: r for r in graph.all_metrics(e, "s", "t").collect()}
+    assert set(m) == {"A", "B", "C"} and m["B"]["betweenness"] == pytest.approx(1) and m["B"]["closeness"] == pytest.approx(1)
+    assert sum(r["eigenvector_centrality"] ** 2 for r in m.values()) == pytest.approx(1)

@@ -119,6 +119,7 @@ def test_known_at(spark):
     ev = [(rng.choice(["a", "b", "c"]), D(2000, 6, 1) + dt.timedelta(rng.randint(-400, 1500)), i) for i in range(100)] + [(None, D(2001, 1, 1), 1000), ("a", None, 1001)] + [("a", D(2002, 2, 2), 7)] * 2
     e, c = spark.createDataFrame(ev, "k string, t date, __b int"), spark.createDataFrame(ch, "k string, t date, y int, v double")
     out = known_at(e, c, "k", "t", "t", ["y"], ["v"])
+    assert known_at(e.withColumn("known_v", F.lit("x")), c, "k", "t", "t", ["y"], ["v"]).columns == out.columns
     assert out.columns == ["k", "t", "__b", "known_y", "known_v"] and out.count() == len(ev)
     for r in out.collect():
         best = max(((y, v) for k, t, y, v in ch if r["k"] and r["t"] and k == r["k"] and t and y is not None and t <= r["t"]), default=(None, None))

@@ -13,7 +13,7 @@ def known_at(events: DataFrame, changes: DataFrame, entity: str, event_time: str
 
     Of the changes of the same `entity` with `available` <= `event_time`, the one with the greatest tuple of
     `priority` columns wins, then the greatest tuple of `values`; it is carried forward until a better one
-    becomes available. At the same time changes come before events. Result: the columns of `events` and, named
+    becomes available. Event columns of those names are replaced. At the same time changes come before events. Result: the columns of `events` and, named
     `known_<column>`, those of priority and values; null where nothing was known. Events without entity or
     time stay, with nulls; changes without entity, time or any priority column are never known. Repeated
     changes alter nothing; repeated events each keep their row; an empty side is allowed.
@@ -23,6 +23,7 @@ def known_at(events: DataFrame, changes: DataFrame, entity: str, event_time: str
     row per entity and bucket, so that no task holds all of a frequent entity.
     """
     keep = [*priority, *values]
+    events = events.drop(*[f"known_{c}" for c in keep])
     state = F.struct(*[F.col(c).alias(f"known_{c}") for c in keep])
     t = "__t"
     cut = (lambda c: bucket(c)) if callable(bucket) else (lambda c: F.year(c))

@@ -211,6 +211,20 @@ def betweenness(pairs: DataFrame, limit: int = PATH_LIMIT) -> DataFrame:
     return nodes(pairs, []).join(sums, "i", "left").select(F.col("i").alias("node_id"), (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
 
+def simple_graph(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """Distinct undirected pairs (a, b) of any edge list; rows without an end are dropped."""
+    return _undirected(edges.dropna(subset=[source, target]), source, target).distinct()
+
+
+def all_metrics(edges: DataFrame, source: str, target: str, limit: int = PATH_LIMIT) -> DataFrame:
+    """Every metric of one small graph: local ones, PageRank, eigenvector ('l2'), closeness and betweenness."""
+    pairs = simple_graph(edges, source, target).persist()
+    out = local_metrics(pairs, [])
+    for part in (pagerank(pairs, []), eigenvector(pairs, [], "l2"), closeness(pairs, limit), betweenness(pairs, limit)):
+        out = out.join(part, "node_id")
+    return out
+
+
 def network_panel(edges: DataFrame, mode: str, first: int, last: int, source: str, target: str, start: str, end: str) -> DataFrame:
     """All metrics that scale for every year first..last: local ones, PageRank and eigenvector centrality."""
     pairs = yearly_pairs(edges, mode, first, last, source, target, start, end).persist()

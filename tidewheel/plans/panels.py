@@ -469,3 +469,21 @@ def month_end_dates(spark, sf):
 select date, entity, case when hi <= size then 'high' else 'low' end as side from n where hi <= size or lo <= size""")
 def sorted_groups(spark, sf):
     return portfolio.sorted_groups(panel(spark, sf), "factor", ["date"], 10, ["entity"]).select("date", "entity", "side")
+
+
+_GROW_ATT = _GROW.replace("from ls where", "from att where")
+
+
+@query(f"with {M}, {_ATT}, {_GROW_ATT} select {q('avg(ret) * 12')} as ann_return, {q('stddev_pop(ret) * sqrt(12)')} as ann_vol, {q('avg(ret) * 12 / nullif(stddev_pop(ret) * sqrt(12), 0)', 5)} as sharpe, {q('min(growth / peak - 1)')} as max_drawdown, {q('arg_max(growth, date) - 1')} as cumulative_return, count(*) as n, {q('quantile_cont(ret, 0.05)')} as var from t")
+def benchmark_report(spark, sf):
+    """Performance and risk of the whole universe, weighted by value."""
+    series = portfolio.attribution(_weights(spark, sf), panel(spark, sf, "month"), "date", "entity").withColumnRenamed("total_return", "ret")
+    out = research.performance_stats(series, "date").drop("n").crossJoin(F.broadcast(portfolio.risk_metrics(series).select("var", "n")))
+    return out.select(*[r(c, c) for c in ("ann_return", "ann_vol")], r("sharpe", "sharpe", 5), *[r(c, c) for c in ("max_drawdown", "cumulative_return")], "n", r("var", "var"))
+
+
+@query(f"with {M}, {_SCALED}, {_OLS1}, g as (select date, b / sqrt(rss / (n - 2) / sxx) as t from o) select count(*) as n_dates, cast(count(*) filter (abs(t) > 1.96) as bigint) as n_significant, cast(count(*) filter (t > 1.96) as bigint) as n_positive from g")
+def significance_counts(spark, sf):
+    """Dates on which the regression's slope is significant."""
+    t = econometrics.simple_regression(_scaled(spark, sf, "month"), "y", "x", "date")
+    return t.agg(F.count(F.lit(1)).alias("n_dates"), F.count_if(F.abs("tstat_x") > 1.96).alias("n_significant"), F.count_if(F.col("tstat_x") > 1.96).alias("n_positive"))
