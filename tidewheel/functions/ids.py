@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space that is trimmed from ids, dates and status texts.
-BLANKS = " \t\n\r\x0b\x0c "
+BLANKS = " \t\n\r\x0b\x0c\u00a0"
 
 
 def trimmed(c: Column | str) -> Column:

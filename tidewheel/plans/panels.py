@@ -306,6 +306,20 @@ def factor_landscape(spark, sf):
     return s.select("name", kind.alias("category"), r("mean_ic", "mean_ic"), r("icir", "icir"), "n").orderBy(F.col("icir").desc())
 
 
+_SIGNAL = f"""{_PIPE}, sig as (select date, {_sql_rank('round(lagged, 9)', 'date')} / count(lagged) over (partition by date) as x, lead(ret) over (partition by entity order by date) as y from h),
+pairs as (select * from sig where x is not null and y is not null), ranked as (select date, {_sql_rank('x', 'date')} as rx, {_sql_rank('y', 'date')} as ry from pairs),
+i as (select date, {_CORR.format(x='rx', y='ry')} as ic from ranked group by date)"""
+
+
+@query(f"with {_SIGNAL} {_SUM}")
+def signal_quality(spark, sf):
+    """The whole way: features of the factor, rank IC with the next year's return, and its summary."""
+    p = features.feature_pipeline(panel(spark, sf), ["factor"], "date", "entity", "industry", "cap", ("factor",))
+    p = p.withColumn("next_ret", F.lead("ret").over(Window.partitionBy("entity").orderBy("date")))
+    out = research.ic_summary(research.rank_ic(p, "factor_rank", "next_ret", "date"))
+    return out.select(*[r(c, c) for c in ("mean_ic", "std_ic", "pct_positive")], "n", r("icir", "icir"))
+
+
 # ---------------------------------------------------------------- econometrics
 _SCALED = "scaled as (select date, entity, industry, ret as y, factor / 100000 as x, orders as x2, cap / 1000 as x3 from panel)"
 
