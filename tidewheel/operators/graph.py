@@ -94,8 +94,8 @@ def local_metrics(pairs: DataFrame, by: list[str]) -> DataFrame:
     (p_ij + sum_q p_iq p_qj)^2 over the neighbours j with p = 1 / degree, null without neighbours; brokerage is its
     reciprocal.
     """
-    deg = degrees(pairs, by)
-    t3 = triangles(pairs, by)
+    deg = degrees(pairs, by).persist()  # both are used several times; what is lost is computed again
+    t3 = triangles(pairs, by).persist()
     n = t3.select(*by, F.explode(F.array("i", "j", "k")).alias("node_id")).groupBy(*by, "node_id").agg(F.count(F.lit(1)).alias("t"))
     d = deg.select(*by, F.col("node_id").alias("x"), "degree")
     adj = adjacency(pairs, by).distinct()
