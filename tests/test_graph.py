@@ -1,4 +1,7 @@
+import collections
 import itertools
+import os
+import random
 
 import pytest
 
@@ -82,3 +85,59 @@ def test_all_metrics(spark):
     m = {r["node_id"]: r for r in graph.all_metrics(e, "s", "t").collect()}
     assert set(m) == {"A", "B", "C"} and m["B"]["betweenness"] == pytest.approx(1) and m["B"]["closeness"] == pytest.approx(1)
     assert sum(r["eigenvector_centrality"] ** 2 for r in m.values()) == pytest.approx(1)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def brute_paths(edges, nodes):
+    """Closeness and betweenness of every node by counting the shortest paths between all pairs."""
+    near = collections.defaultdict(set)
+    for a, b in edges:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    dist, ways = {}, {}
+    for s in nodes:
+        dist[s], ways[s], queue = {s: 0}, collections.Counter({s: 1}), [s]
+        for v in queue:
+            for w in near[v]:
+                if w not in dist[s]:
+                    dist[s][w] = dist[s][v] + 1
+                    queue.append(w)
+                if dist[s][w] == dist[s][v] + 1:
+                    ways[s][w] += ways[s][v]
+    n = len(nodes)
+    close = {s: (len(d) - 1) ** 2 / (sum(d.values()) or 1) / (n - 1) for s, d in dist.items()}
+    between = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        for t, far in dist[s].items():
+            for v, x in dist[s].items():
+                if v not in (s, t) and s != t and x + dist[v].get(t, n) == far:
+                    between[v] += ways[s][v] * ways[v][t] / ways[s][t] / ((n - 1) * (n - 2))
+    return close, between
+
+
+def test_paths_match_brute_force(spark):
+    rng = random.Random(5)
+    edges = {tuple(sorted((f"v{rng.randint(0, 59)}", f"v{rng.randint(0, 59)}"))) for _ in range(75)} | {("w", "w"), ("y", "z")}
+    close, between = brute_paths(edges, sorted({x for e in edges for x in e}))
+    assert of(graph.closeness(pairs(spark, edges)), "closeness") == pytest.approx(close)
+    assert of(graph.betweenness(pairs(spark, edges)), "betweenness") == pytest.approx(between)
+
+
+def test_paths_of_many_nodes(spark):
+    star = spark.range(5_200).selectExpr("'c' as a", "concat('l', id) as b")
+    c, b = of(graph.closeness(star), "closeness"), of(graph.betweenness(star), "betweenness")
+    assert len(c) == len(b) == 5_201
+    assert c["c"] == b["c"] == pytest.approx(1) and c["l7"] == pytest.approx(5_200 / (1 + 2 * 5_199)) and b["l7"] == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_path_queries_use_the_directors(spark):
+    from tidewheel.plans import relations
+
+    edges = [tuple(r) for r in relations._snapshot(spark, SF).collect()]
+    close, between = brute_paths(edges, sorted({x for e in edges for x in e}))
+    assert of(relations.closeness(spark, SF), "closeness") == pytest.approx(close, abs=1e-9)
+    assert of(relations.betweenness(spark, SF), "betweenness") == pytest.approx(between, abs=1e-9)

@@ -6,11 +6,15 @@ undirected simple graphs; metrics carry a snapshot column (year) through every j
 
 from __future__ import annotations
 
+import itertools
+import uuid
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.ids import norm_id
-from tidewheel.session import checkpoint
+from tidewheel.session import checkpoint, shared_dir
 
 
 def edges_core(raw: DataFrame, source: str, target: str, start: str, end: str) -> DataFrame:
@@ -166,49 +170,127 @@ def eigenvector(pairs: DataFrame, by: list[str], norm: str = "max", iterations:
     return v.select(*by, F.col("i").alias("node_id"), F.col("v").alias("eigenvector_centrality"))
 
 
-#: Shortest-path metrics look from every node, so they refuse graphs above this many nodes.
-PATH_LIMIT = 5_000
+#: Entries (sources x (nodes + directed edges)) that a task's arrays hold at once.
+_ENTRIES = 4_000_000
+
+
+def _search(start, adj, sources, back: bool):
+    """Breadth-first search from a block of sources over neighbours adj[start[v]:start[v + 1]]: nodes reached (without the source) and summed distances of every source; summed dependencies of every node if `back`."""
+    import numpy as np
+
+    n, k = len(start) - 1, len(sources)
+    # the entry of (source b, node v) is b * n + v
+    dist, at, sigma = np.full(k * n, -1, np.int32), np.empty(k * n, np.int64), np.zeros(k * n)
+    front = np.arange(k) * n + sources
+    dist[front], sigma[front] = 0, 1.0
+    reached, far, level, levels = np.zeros(k, np.int64), np.zeros(k, np.int64), 0, []
+    while len(front):
+        level += 1
+        v = front % n
+        deg = start[v + 1] - start[v]
+        of = np.repeat(np.arange(len(front)), deg)
+        t = adj[np.arange(len(of)) + np.repeat(start[v] - (np.cumsum(deg) - deg), deg)] + np.repeat(front - v, deg)
+        new = dist[t] < 0
+        of, t = of[new], t[new]
+        dist[t] = level
+        np.add.at(sigma, t, sigma[front[of]])
+        if back:
+            levels.append((front, of, t))
+        at[t] = np.arange(len(t))
+        front = t[at[t] == np.arange(len(t))]  # every entry once
+        here = np.bincount(front // n, minlength=k)
+        reached += here
+        far += level * here
+    total = np.zeros(n)
+    if back:
+        delta = np.zeros(k * n)
+        for front, of, t in levels[:0:-1]:
+            delta[front] = sigma[front] * np.bincount(of, weights=(1 + delta[t]) / sigma[t], minlength=len(front))
+            total += np.bincount(front % n, weights=delta[front], minlength=n)
+    return reached, far, total
+
+
+def _from_all(pairs: DataFrame, back: bool) -> tuple[DataFrame, int]:
+    """Rows (node_id, reached, far), or (node_id, delta) if `back`, of searches from every node, and the node count.
+
+    The sources are spread over the tasks, which take them in blocks; every task reads all edges, as pairs of numbers,
+    from the shared folder. So a task holds the graph (some 50 bytes an edge while it is read) but never all pairs of nodes.
+    """
+    spark = pairs.sparkSession
+    pairs = pairs.persist()
+    named = checkpoint(nodes(pairs, []).select("i", F.monotonically_increasing_id().alias("id")))
+    n = named.count()
+    side = lambda c, name: named.select(F.col("i").alias(c), F.col("id").alias(name))
+    edges = pairs.where("a <> b").distinct().join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
+    folder = f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}"
+    edges.write.parquet(folder)
+    pairs.unpersist()
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.dataset as ds
+
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        table = ds.dataset(folder, schema=pa.schema([("x", pa.int64()), ("y", pa.int64())]), format="parquet").to_table()
+        x, y = (table.column(c).to_numpy() for c in "xy")
+        ids, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
+        x, y = ends[: len(x)], ends[len(x) :]
+        source, adj = np.concatenate([x, y]), np.concatenate([y, x])
+        adj, start = adj[np.argsort(source, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(source, minlength=len(ids)))])
+        block, total = max(1, _ENTRIES // max(1, len(ids) + len(adj))), np.zeros(len(ids))
+        for batch in itertools.chain([first], batches):
+            own = batch.column(0).to_numpy()
+            place = np.searchsorted(ids, own)
+            linked = np.zeros(len(own), bool)
+            linked[place < len(ids)] = ids[place[place < len(ids)]] == own[place < len(ids)]
+            reached, far = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+            todo = np.flatnonzero(linked)
+            for part in (todo[k : k + block] for k in range(0, len(todo), block)):
+                reached[part], far[part], delta = _search(start, adj, place[part], back)
+                total += delta
+            if not back:
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(reached), pa.array(far)], names=["id", "reached", "far"])
+        if back:
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(total[some])], names=["id", "delta"])
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    got = named.select("id").repartition(tasks).mapInArrow(run, "id bigint, delta double" if back else "id bigint, reached bigint, far bigint")
+    if back:
+        got = got.groupBy("id").agg(F.sum("delta").alias("delta"))
+    out = checkpoint(named.join(got, "id", "left").drop("id").withColumnRenamed("i", "node_id"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out, n
+
+
+def _refuse(pairs: DataFrame, limit: int | None) -> None:
+    if limit is not None and (n := nodes(pairs, []).count()) > limit:
+        raise ValueError(f"{n} nodes; path metrics are limited to {limit}")
 
 
-def _paths(pairs: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, int]:
-    """(s, t, dist, sigma) of all reachable pairs by level-wise frontiers, the adjacency and the node count."""
-    n = nodes(pairs, []).count()
-    if n > limit:
-        raise ValueError(f"{n} nodes; path metrics are limited to {limit}")
-    adj = checkpoint(adjacency(pairs, []).distinct())
-    seen = nodes(pairs, []).select(F.col("i").alias("s"), F.col("i").alias("t"), F.lit(0).alias("dist"), F.lit(1.0).alias("sigma"))
-    front, dist = seen, 0
-    while True:
-        dist += 1
-        step = front.join(adj, front["t"] == adj["i"]).groupBy("s", F.col("j").alias("t")).agg(F.sum("sigma").alias("sigma"))
-        front = checkpoint(step.join(seen.select("s", "t"), ["s", "t"], "left_anti").select("s", "t", F.lit(dist).alias("dist"), "sigma"))
-        if front.isEmpty():
-            return checkpoint(seen), adj, n
-        seen = seen.unionByName(front)
-
-
-def closeness(pairs: DataFrame, limit: int = PATH_LIMIT) -> DataFrame:
-    """node_id, closeness: (r - 1) / sum of distances x (r - 1) / (n - 1), r the nodes reached with itself."""
-    paths, _, n = _paths(pairs, limit)
-    got = paths.groupBy("s").agg(F.count(F.lit(1)).alias("r"), F.sum("dist").alias("far"))
-    return got.select(F.col("s").alias("node_id"), F.coalesce(F.try_divide((F.col("r") - 1) * (F.col("r") - 1), F.col("far") * F.lit(float(max(n - 1, 1)))), F.lit(0.0)).alias("closeness"))
-
-
-def betweenness(pairs: DataFrame, limit: int = PATH_LIMIT) -> DataFrame:
-    """node_id, betweenness, normalised by 2 / ((n - 1)(n - 2)): dependencies are carried back level by level."""
-    paths, adj, n = _paths(pairs, limit)
-    deepest = paths.agg(F.max("dist")).first()[0] or 0
-    known = paths.where(F.col("dist") == deepest).select("s", "t", F.lit(0.0).alias("delta"))
-    total = known
-    for level in range(deepest - 1, 0, -1):
-        here = paths.where(F.col("dist") == level).select("s", F.col("t").alias("v"), F.col("sigma").alias("sv"))
-        after = paths.where(F.col("dist") == level + 1).join(known, ["s", "t"]).select("s", F.col("t").alias("w"), F.col("sigma").alias("sw"), "delta")
-        back = here.join(adj.select(F.col("i").alias("v"), F.col("j").alias("w")), "v").join(after, ["s", "w"]).groupBy("s", "v").agg(F.sum(F.col("sv") / F.col("sw") * (1 + F.col("delta"))).alias("delta"))
-        known = checkpoint(here.join(back, ["s", "v"], "left").select("s", F.col("v").alias("t"), F.coalesce("delta", F.lit(0.0)).alias("delta")))
-        total = total.unionByName(known)
+def closeness(pairs: DataFrame, limit: int | None = None) -> DataFrame:
+    """node_id, closeness: (r - 1) / sum of distances x (r - 1) / (n - 1), r the nodes reached with itself.
+
+    Searches from every node: time grows as nodes x edges. With a limit, greater graphs are refused.
+    """
+    _refuse(pairs, limit)
+    got, n = _from_all(pairs, back=False)
+    return got.select("node_id", F.coalesce(F.try_divide(F.col("reached") * F.col("reached"), F.col("far") * F.lit(float(max(n - 1, 1)))), F.lit(0.0)).alias("closeness"))
+
+
+def betweenness(pairs: DataFrame, limit: int | None = None) -> DataFrame:
+    """node_id, betweenness, normalised by 2 / ((n - 1)(n - 2)): dependencies are carried back level by level.
+
+    Searches from every node: time grows as nodes x edges. With a limit, greater graphs are refused.
+    """
+    _refuse(pairs, limit)
+    got, n = _from_all(pairs, back=True)
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0  # each undirected pair occurs from both ends
-    sums = total.groupBy(F.col("t").alias("i")).agg(F.sum("delta").alias("b"))
-    return nodes(pairs, []).join(sums, "i", "left").select(F.col("i").alias("node_id"), (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
+    return got.select("node_id", (F.coalesce("delta", F.lit(0.0)) * scale).alias("betweenness"))
 
 
 def simple_graph(edges: DataFrame, source: str, target: str) -> DataFrame:
@@ -216,8 +298,8 @@ def simple_graph(edges: DataFrame, source: str, target: str) -> DataFrame:
     return _undirected(edges.dropna(subset=[source, target]), source, target).distinct()
 
 
-def all_metrics(edges: DataFrame, source: str, target: str, limit: int = PATH_LIMIT) -> DataFrame:
-    """Every metric of one small graph: local ones, PageRank, eigenvector ('l2'), closeness and betweenness."""
+def all_metrics(edges: DataFrame, source: str, target: str, limit: int | None = None) -> DataFrame:
+    """Every metric of one graph: local ones, PageRank, eigenvector ('l2'), closeness and betweenness."""
     pairs = simple_graph(edges, source, target).persist()
     out = local_metrics(pairs, [])
     for part in (pagerank(pairs, []), eigenvector(pairs, [], "l2"), closeness(pairs, limit), betweenness(pairs, limit)):

@@ -285,18 +285,11 @@ def eigenvector(spark, sf):
     return graph.eigenvector(_snapshot(spark, sf), [], iterations=16)
 
 
-def _places(spark, sf):
-    """A small graph: suppliers, their nations and regions."""
-    n = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("a"), F.concat(F.lit("r"), "n_regionkey").alias("b"))
-    s = table(spark, sf, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("a"), F.concat(F.lit("s"), "s_suppkey").alias("b"))
-    return n.union(s).distinct()
-
-
 @query()
 def closeness(spark, sf):
-    return graph.closeness(_places(spark, sf)).select("node_id", r("closeness", "closeness", 9))
+    return graph.closeness(_snapshot(spark, sf)).select("node_id", r("closeness", "closeness", 9))
 
 
 @query()
 def betweenness(spark, sf):
-    return graph.betweenness(_places(spark, sf)).select("node_id", r("betweenness", "betweenness", 9))
+    return graph.betweenness(_snapshot(spark, sf)).select("node_id", r("betweenness", "betweenness", 9))
