@@ -141,3 +141,35 @@ def test_path_queries_use_the_directors(spark):
     close, between = brute_paths(edges, sorted({x for e in edges for x in e}))
     assert of(relations.closeness(spark, SF), "closeness") == pytest.approx(close, abs=1e-9)
     assert of(relations.betweenness(spark, SF), "betweenness") == pytest.approx(between, abs=1e-9)
+
+
+def matrix(edges):
+    import numpy as np
+
+    ids = sorted({x for e in edges for x in e})
+    near = np.zeros((len(ids), len(ids)))
+    for a, b in edges:
+        if a != b:
+            near[ids.index(a), ids.index(b)] = near[ids.index(b), ids.index(a)] = 1
+    return ids, near
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_eigenvector_query_has_converged(spark):
+    import numpy as np
+    from tidewheel.plans import relations
+
+    ids, near = matrix([tuple(r) for r in relations._snapshot(spark, SF).collect()])
+    want = np.abs(np.linalg.eigh(near)[1][:, -1])
+    got = of(relations.eigenvector(spark, SF), "eigenvector_centrality")
+    assert [got[i] for i in ids] == pytest.approx(list(want / want.max()), abs=1e-6)
+
+
+def test_eigenvector_of_snapshots_and_ties(spark):
+    rows = [(1, "A", "B"), (1, "C", "D"), (1, "E", "F"), (2, "A", "A"), (3, "A", "B"), (3, "B", "C"), (3, "D", "E")]
+    df = spark.createDataFrame(rows, "year int, a string, b string")
+    got = {(r["year"], r["node_id"]): r["eigenvector_centrality"] for r in graph.eigenvector(df, ["year"]).collect()}
+    want = {(1, x): 1 for x in "ABCDEF"} | {(2, "A"): 1, (3, "A"): 0.5**0.5, (3, "B"): 1, (3, "C"): 0.5**0.5, (3, "D"): 0, (3, "E"): 0}
+    assert got == pytest.approx(want, abs=1e-8)
+    with pytest.warns(RuntimeWarning):
+        graph.eigenvector(pairs(spark, ["AB", "BC", "CD", "DE", "EF", "BD"]), [], iterations=1)

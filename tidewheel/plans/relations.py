@@ -282,7 +282,7 @@ def pagerank(spark, sf):
 
 @query()
 def eigenvector(spark, sf):
-    return graph.eigenvector(_snapshot(spark, sf), [], iterations=16)
+    return graph.eigenvector(_snapshot(spark, sf), [])
 
 
 @query()

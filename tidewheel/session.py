@@ -56,6 +56,15 @@ def checkpoint(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
+def drop_checkpoint(df) -> None:
+    """Remove the files of a table that `checkpoint` returned; nothing may read it any more."""
+    spark = df.sparkSession
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _shipped: set[str] = set()
 
 
