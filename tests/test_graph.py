@@ -173,3 +173,16 @@ def test_eigenvector_of_snapshots_and_ties(spark):
     assert got == pytest.approx(want, abs=1e-8)
     with pytest.warns(RuntimeWarning):
         graph.eigenvector(pairs(spark, ["AB", "BC", "CD", "DE", "EF", "BD"]), [], iterations=1)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_pagerank_query_has_converged(spark):
+    import numpy as np
+    from tidewheel.plans import relations
+
+    ids, near = matrix([tuple(r) for r in relations._snapshot(spark, SF).collect()])
+    n, d = len(ids), near.sum(axis=0)
+    step = np.where(d > 0, near / np.maximum(d, 1), 1 / n)
+    want = np.linalg.solve(np.eye(n) - 0.85 * step, np.full(n, 0.15 / n))
+    got = of(relations.pagerank(spark, SF), "pagerank")
+    assert [got[i] for i in ids] == pytest.approx(list(want), abs=1.1e-9)
