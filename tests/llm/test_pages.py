@@ -54,3 +54,17 @@ def test_curve_matches_numpy(spark):
 def test_blocks():
     assert pages.blocks("# %% [markdown]\n# ## Title\n#\n# Some text.\n\n# %% [1]\nx = 1\n") == ["Title", "Some text.", "x = 1"]
     assert pages.blocks("In [1]:\nx\n\nOut[1]:\ny") == ["x\ny"]
+
+
+def test_blocks_of_json_with_odd_spaces():
+    page = '\ufeff{\u00a0"cells":\u200b [{"cell_type": "markdown", "source": ["buy\u00a0one", " two"]}]}'
+    assert pages.blocks(page) == ["buy one two"]
+    assert pages.blocks('{"cells": [{"cell_type": "markdown", "source": ["a\u00a0b"]}]}') == ["a\u00a0b"]
+
+
+def test_keywords_beside_data_are_read(spark):
+    good, spam, _ = corpus()
+    run = "iVBORw0KGgo" + "abcXYZ0123+/" * 10
+    df = spark.createDataFrame([*good, (300, spam[0][1] + " " + run + " " + spam[0][1], "en"), (301, run * 9, "en")], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["spam"] for r in pages.spam_pages(df).collect()}
+    assert got[300] and not got[301]

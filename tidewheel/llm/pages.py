@@ -37,6 +37,8 @@ _RUN = re.compile(r"[^\W\d_]+")
 _LABEL = re.compile(r"(?:^|(?<=\s)|(?<=[^\W\d_]))[#@+](?=[^\W\d_])|<li>|\[[^\W\d_]+\](?!\()")
 _PRICE = re.compile(r"(?:[$€£¥]|EUR|USD|GBP) ?\d")
 _DATA = re.compile(r"[A-Za-z0-9+/=]{80,}")
+#: Invisible characters, and spaces that JSON doesn't take for spaces.
+_ODD = dict.fromkeys(map(ord, "\u200b\u200c\u200d\u2060\ufeff")) | dict.fromkeys(map(ord, "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"), " ")
 _LIST = re.compile(r"\w+ = \[")
 #: First characters of lines that may be markers or have a prefix.
 _FIRST = frozenset("#IO`~")
@@ -53,13 +55,25 @@ def _texts(x) -> str:
     return ""
 
 
+def _parsed(text: str, clean: str):
+    try:
+        return json.loads(text)
+    except ValueError:
+        return json.loads(clean)
+
+
+def _without_data(block: str) -> str:
+    """The block without embedded images and the like: long runs with digits."""
+    return _DATA.sub(lambda m: " " if sum(map(m[0].count, "0123456789")) > 0.03 * len(m[0]) else m[0], block)
+
+
 def blocks(text: str) -> list[str]:
     """Paragraphs of a page without cell markers; neighbours that are short and no sentences are one block."""
-    if text.lstrip()[:1] == "{" and '"cells"' in text:
+    if "{" in text[:100] and "cells" in text and (clean := text.translate(_ODD)).lstrip()[:1] == "{" and '"cells"' in clean:
         try:
-            text = _texts(json.loads(text)["cells"])
+            text = _texts(_parsed(text, clean)["cells"])
         except (ValueError, TypeError, KeyError, RecursionError):
-            text = text.replace("\\n", "\n")
+            text = clean.replace("\\n", "\n")
     out, block, short = [], [], False
     for line in [*(_COLOURS.sub("", text) if "[" in text else text).splitlines(), ""]:
         line = line.strip()
@@ -143,9 +157,9 @@ def block_statistics(pages: DataFrame, lexicon: dict[str, set[str]]) -> DataFram
             for doc, page, lang, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 rest = 0
                 for i, b in enumerate(blocks(text or "")):
-                    if (m := _DATA.search(b)) and sum(map(m[0].count, "0123456789")) > 0.03 * len(m[0]):  # embedded images are neither prose nor spam
-                        rest += len(b)
-                        continue
+                    whole = len(b)
+                    b = _without_data(b).strip()  # embedded images are neither prose nor spam
+                    rest += whole - len(b)
                     chars = len(b)
                     plain = sum(map(b.count, "0123456789")) < 0.01 * chars and sum(map(b.count, "()[]{}=")) < 0.012 * chars
                     prose, maybe = _is_prose(b), _maybe_listed(b)
