@@ -68,3 +68,10 @@ def test_keywords_beside_data_are_read(spark):
     df = spark.createDataFrame([*good, (300, spam[0][1] + " " + run + " " + spam[0][1], "en"), (301, run * 9, "en")], "doc_id bigint, text string, lang string")
     got = {r["doc_id"]: r["spam"] for r in pages.spam_pages(df).collect()}
     assert got[300] and not got[301]
+
+
+def test_two_bracket_labels_are_listed(spark):
+    good, _, _ = corpus()
+    df = spark.createDataFrame([*good, (300, "[mattress] [sofa]", "en"), (301, "[mattress](a) [1]", "en")], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["spam"] for r in pages.spam_pages(df).collect()}
+    assert got[300] and not got[301]

@@ -35,6 +35,7 @@ _TAG = re.compile(r"</?[A-Za-z][^<>]{0,400}>")
 _WORD = re.compile(r"[㐀-鿿぀-ヿ가-힯]|[^\W\d_㐀-鿿぀-ヿ가-힯]+")
 _RUN = re.compile(r"[^\W\d_]+")
 _LABEL = re.compile(r"(?:^|(?<=\s)|(?<=[^\W\d_]))[#@+](?=[^\W\d_])|<li>|\[[^\W\d_]+\](?!\()")
+_BRACKETED = re.compile(r"\[[^\W\d_]+\](?!\()")
 _PRICE = re.compile(r"(?:[$€£¥]|EUR|USD|GBP) ?\d")
 _DATA = re.compile(r"[A-Za-z0-9+/=]{80,}")
 #: Invisible characters, and spaces that JSON doesn't take for spaces.
@@ -196,7 +197,7 @@ def _best(count: Counter, n: int, lang: str, lexicon: dict[str, set[str]]) -> tu
 
 def _maybe_listed(b: str) -> bool:
     """Cheap necessary condition of _listed."""
-    return "://" in b or any(map(b.__contains__, "$€£¥#@+")) or "EUR" in b or "USD" in b or "GBP" in b or "<li>" in b or b.count("[") > 2
+    return "://" in b or any(map(b.__contains__, "$€£¥#@+")) or "EUR" in b or "USD" in b or "GBP" in b or "<li>" in b or "[" in b and _BRACKETED.search(b) is not None
 
 
 def _listed(b: str, n: int, count: Counter, lexicon: dict[str, set[str]]) -> bool:
