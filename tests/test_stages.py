@@ -27,6 +27,19 @@ def test_config(tmp_path, monkeypatch):
     assert config.load_config(p) == {}
     with pytest.raises(FileNotFoundError):
         config.load_config(tmp_path / "none.json")
+    same = {"a": ["$5", "${", "$TW_A", {"b": ["${TW_A}", 3, None]}]}
+    assert config.expand(same) == {"a": ["$5", "${", "$TW_A", {"b": ["x", 3, None]}]} and same["a"][3]["b"][0] == "${TW_A}"
+
+
+def test_checkpoint_without_settings(tmp_path):
+    """A plain machine: no configuration folder, no spark.checkpoint.dir."""
+    import subprocess
+    import sys
+
+    code = "from tidewheel.session import build_session, checkpoint; s = build_session('local[1]'); print(checkpoint(s.range(3)).count())"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], env=os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root}, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip() == "3", out.stderr[-2000:]
 
 
 def test_io(spark, tmp_path):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -16,6 +18,7 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -33,6 +36,10 @@ def build_session(master: str | None = None, app: str = "tidewheel", **conf: str
     return spark
 
 
+#: Temporary folders of local applications without a setting, by application id.
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, read from `spark.checkpoint.dir`.
 
@@ -40,12 +47,16 @@ def shared_dir(spark: SparkSession) -> str:
     cluster without the setting this raises, since a machine-local folder would lose data with an executor.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = os.path.join(tempfile.gettempdir(), f"tidewheel-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _local_dirs:
+        folder = tempfile.mkdtemp(prefix="tidewheel-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _local_dirs[context.applicationId] = folder
+    return _local_dirs[context.applicationId]
 
 
 def checkpoint(df, eager: bool = True):
