@@ -42,13 +42,60 @@ def test_empty(spark):
 def test_curve_matches_numpy(spark):
     import numpy as np
 
-    rows = [(1, 1, 0, "en", 10, 10, 5, 0.0, False, True, False, [(5, 1), (2, 1), (1, 3)])]
-    df = spark.createDataFrame(rows, "doc_id bigint, " + pages._BLOCK)
-    r = pages.fitted_curves(df).first()
+    rows = [(1, 1, 0, "en", 10, 10, 0.0, 0.0, 0.0, False, False, [(1, 3), (5, 1), (2, 1)])] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, " + pages._SCHEMA)
+    (r,) = pages.fitted_curves(df).collect()
     x = np.log([1, 2, 4, 4, 4])
     y = np.log([5, 2, 1, 1, 1])
     b, a = np.polyfit(x, y, 1)
     assert abs(r["slope"] - b) < 1e-9 and abs(r["residual"] - np.sqrt(np.mean((y - a - b * x) ** 2))) < 1e-9
+    assert (r["d"], r["c1"], r["c2"], r["c4"], r["c8"], r["c64"]) == (5, 0.5, 0.7, 0.9, 1.0, 1.0)
+
+
+def test_tokens():
+    count, marks = pages.tokens("[Buy](http://a.test/x) one #Sale, [sofa] EUR 12.50 <b>(3)</b> 'http://b.test' 你好 <a href=\"http://c.test\">")
+    assert count == {pages.LINK: 2, pages.LABEL: 2, pages.PRICE: 1, "buy": 1, "one": 1, "sale": 1, "sofa": 1, "3": 1, "你": 1, "好": 1} and marks == 4
+
+
+def test_keywords_among_numbers_and_brackets(spark):
+    """No digit or bracket keeps keywords from being found; code and output with the same marks aren't spam."""
+    rng = random.Random(8)
+    good, _, _ = corpus()
+    words = [rng.choice(["cheap", "watch", "buy", "sale"]) for _ in range(150)]
+    numbered = lambda k: " ".join(w + (f" {rng.randint(10, 99)}" if i % k == k - 1 else "") for i, w in enumerate(words))
+    boxed = " ".join(f"[{w}]" if i % 8 == 7 else w for i, w in enumerate(words))
+    plain = " ".join(words)
+    log = lambda n: "\n".join(f"Epoch {i}/{n} - loss: {rng.random():.4f} - acc: {rng.random():.4f} - {rng.randint(1, 90)}s" for i in range(n))
+    code = lambda: "\n".join(f"{rng.choice(['x', 'rows', 'y'])}['{rng.choice(['level', 'score', 'zone'])}'] = f({rng.choice(['x', 'y'])}, {rng.randint(1, 99)})" for _ in range(20))
+    more = [(400 + i, f"In [1]:\n{code()}\n\nOut[1]:\n{log(rng.randint(4, 30))}", "en") for i in range(40)]
+    spam = [(300, plain, "en"), (301, numbered(6), "en"), (302, numbered(12), "en"), (303, boxed, "en")]
+    df = spark.createDataFrame(good + more + spam, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["spam_share"] for r in pages.spam_pages(df).collect() if r["spam"]}
+    assert set(got) == {r[0] for r in spam}, got
+
+
+def test_one_sentence_over_and_over(spark):
+    """Only the curve over the whole page shows that its paragraphs are all the same."""
+    rng = random.Random(4)
+    nouns = ["".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(900)]
+    say = lambda: f"The {rng.choice(nouns)} of the {rng.choice(nouns)} is {rng.choice(nouns)} and we keep it with a {rng.choice(nouns)} for {rng.choice(nouns)} {rng.choice(nouns)}."
+    good = [(i, "\n\n".join(say() for _ in range(rng.randint(14, 19))), "en") for i in range(150)]
+    spam = [(300, "\n\n".join(["Buy cheap designer watches online today, best price and free shipping now!"] * 40), "en")]
+    got = {r["doc_id"] for r in pages.spam_pages(spark.createDataFrame(good + spam, "doc_id bigint, text string, lang string")).collect() if r["spam"]}
+    assert got == {300}
+
+
+def test_curve_decides(spark):
+    """Without the limits on the curve, only the pages of links, prices and labels are left."""
+    good, spam, fine = corpus()
+    df = spark.createDataFrame(good + spam + fine, "doc_id bigint, text string, lang string")
+    was = pages.STEEP, pages.LOOSE, pages.FAR, pages.ALONE
+    try:
+        pages.STEEP = pages.LOOSE = pages.FAR = pages.ALONE = 1e9
+        got = {r["doc_id"] for r in pages.spam_pages(df).collect() if r["spam"]}
+    finally:
+        pages.STEEP, pages.LOOSE, pages.FAR, pages.ALONE = was
+    assert got == {102, 103, 104, 105, 107}
 
 
 def test_blocks():

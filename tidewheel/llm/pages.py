@@ -1,10 +1,13 @@
 """Keyword-stuffed, link-list and tag pages (problem 10).
 
-A page is cut into its blocks (cells and paragraphs). The rank-frequency curve of every block's words is fitted
-with SQL windows and compared with the curves of same-language prose of comparable length; a block is spam if its
-curve is far too steep or low and its text far from prose (hardly any of the language's function words), or if it
-is made of bare links, prices or tags. A page is spam if such blocks hold most of its text. The language's function
-words and the curves of prose are taken from the whole corpus; nothing is learned from labels.
+A page is cut into its blocks (cells and paragraphs); numbers, links, prices and labels are tokens like words. The
+rank-frequency curve of the tokens of every block, and of all text of the page that is no program, is fitted with
+SQL windows. Its slope, its residual and its divergence (the greatest excess of the cumulative curve) are compared
+with those of same-language prose of comparable length; for text with the marks of code or output (numbers, brackets)
+the reference moves, in proportion to these marks, to that of the corpus' code and output. A block is spam if its curve is extreme
+and its words aren't the language's (hardly any function words), or its divergence is extreme by far, or if links, prices and labels diverge
+extremely from their share in prose. A page is spam if such blocks hold most of its text. All references come from the
+whole corpus; nothing is learned from labels, and no kind of block is left out.
 """
 
 from __future__ import annotations
@@ -23,24 +26,40 @@ FUNCTION_SHARE = 0.012
 LANGUAGE_SHARE = 0.001
 #: A page is spam if more than this share of its text is.
 MOST = 0.5
-#: Least words of a block with a curve of its own; shorter neighbours are read together.
-LEAST_WORDS = 12
+#: Least tokens of a curve; shorter neighbours are read together.
+LEAST_TOKENS = 12
+#: Share of numbers and marks of code from which text counts as code or output in the reference.
+PROGRAM = 0.25
+#: Share of prose's function words below which a block's words aren't the language's.
+FOREIGN = 0.55
+#: Deviations from which slope, residual and divergence are extreme, and from which divergence decides alone.
+STEEP, LOOSE, FAR, ALONE = 6.0, 6.0, 7.0, 10.0
+#: Relative entropy (nats a token) of links, prices and labels against prose that is extreme, and the least in all.
+LISTED, LEAST_NATS = 0.8, 8.0
+#: Ranks at which cumulative curves are compared.
+RANKS = (1, 2, 4, 8, 16, 32, 64)
+LINK, PRICE, LABEL = "<link>", "<price>", "<label>"
 
 # Patterns of notebook text.
 _COLOURS = re.compile(r"\x1b\[[0-9;]*m|\[[0-9;]+m")
 _MARKER = re.compile(r"\s*(?:#\s*%%.*|In ?\[[^\]]*\]:|Out ?\[[^\]]*\]:|`{3,}.*|~{3,}.*|#\s*out:\s*)$")
 _PREFIX = re.compile(r"\s*(?:#+(?:\s+|$))+")
-_URL = re.compile(r"https?://[^\s\"'<>)\]]+")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,400}>")
-_WORD = re.compile(r"[㐀-鿿぀-ヿ가-힯]|[^\W\d_㐀-鿿぀-ヿ가-힯]+")
-_RUN = re.compile(r"[^\W\d_]+")
-_LABEL = re.compile(r"(?:^|(?<=\s)|(?<=[^\W\d_]))[#@+](?=[^\W\d_])|<li>|\[[^\W\d_]+\](?!\()")
-_BRACKETED = re.compile(r"\[[^\W\d_]+\](?!\()")
-_PRICE = re.compile(r"(?:[$€£¥]|EUR|USD|GBP) ?\d")
+#: Tokens of lower-case text: links, quoted addresses, tags, prices, labels, words (a character of scripts without spaces), numbers, marks of code.
+_TOKEN = re.compile(
+    r"<[a-z/][^<>]*>"
+    r"|(?:\]\()?https?://[^\s\"'<>)\]]+"
+    r"|[\"']https?://[^\s\"']+[\"']"
+    r"|(?:[$€£¥₹₽₩₪฿₫₴₺₦]|\b(?:eur|usd|gbp|jpy|cny|chf|cad|aud|inr|brl|mxn|sek|nok|dkk|pln)) ?\d[\d.,]*"
+    r"|(?:^|(?<=\s)|(?<=[^\W\d_]))[#@+](?=[^\W\d_])"
+    r"|\[[^\W\d_]+\](?!\()"
+    r"|[㐀-鿿぀-ヿ가-힯]|[^\W\d_㐀-鿿぀-ヿ가-힯]+"
+    r"|\d[\d.,]*"
+    r"|[()\[\]{}=]",
+    re.MULTILINE,
+)
 _DATA = re.compile(r"[A-Za-z0-9+/=]{80,}")
 #: Invisible characters, and spaces that JSON doesn't take for spaces.
 _ODD = dict.fromkeys(map(ord, "\u200b\u200c\u200d\u2060\ufeff")) | dict.fromkeys(map(ord, "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"), " ")
-_LIST = re.compile(r"\w+ = \[")
 #: First characters of lines that may be markers or have a prefix.
 _FIRST = frozenset("#IO`~")
 
@@ -93,12 +112,30 @@ def blocks(text: str) -> list[str]:
     return out
 
 
-def words(block: str) -> list[str]:
-    if "://" in block:
-        block = _URL.sub(" ", block)
-    if "<" in block:
-        block = _TAG.sub(" ", block)
-    return _WORD.findall(block.lower())
+def tokens(block: str) -> tuple[Counter, int]:
+    """Counts of words, numbers, links, prices and labels, and the number of marks of code."""
+    count = Counter(_TOKEN.findall(block.lower()))
+    marks = 0
+    for t in [t for t in count if not t.isalpha()]:
+        n = count.pop(t)
+        first = t[0]
+        if "://" in t and first not in "\"'" and (first != "<" or t[1:3] == "a "):
+            count[LINK] += n
+        elif first in "<\"'":  # tags are no text, a quoted address is a value in code
+            if t == "<li>":
+                count[LABEL] += n
+        elif first == "[" and len(t) > 1:
+            count[LABEL] += n
+            count[t[1:-1]] += n
+        elif first in "()[]{}=":
+            marks += n
+        elif first in "#@+":
+            count[LABEL] += n
+        elif first.isdigit():
+            count[t.rstrip(".,")] += n
+        else:
+            count[PRICE] += n
+    return count, marks
 
 
 def _is_prose(block: str) -> bool:
@@ -106,150 +143,244 @@ def _is_prose(block: str) -> bool:
 
 
 def _language(c: str):
-    return F.substring(F.lower(F.btrim(F.coalesce(F.col(c), F.lit("")))), 1, 8)
+    return F.lower(F.btrim(F.coalesce(F.col(c), F.lit(""))))
 
 
-def function_words(pages: DataFrame) -> dict[str, set[str]]:
-    """Function words of each language from the prose of all pages (columns lang, text). Bounded, see FUNCTION_SHARE."""
+def lexicon_of(pages: DataFrame) -> dict[str, dict[str, float]]:
+    """Shares in the prose of each language of its function words and of links, prices and labels. Bounded, see FUNCTION_SHARE."""
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        found: dict[str, Counter] = {}
         for batch in batches:
-            found: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for b in blocks(text or ""):
                     if _is_prose(b):
-                        found.setdefault(lang, Counter()).update(words(b))
-            rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+                        found.setdefault(lang, Counter()).update(tokens(b)[0])
+            if sum(map(len, found.values())) > 200_000:
+                yield from _counted(found, pa)
+                found = {}
+        yield from _counted(found, pa)
 
     counts = pages.select("lang", "text").mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    all_of, everything = Window.partitionBy("lang"), F.col("total")
-    counts = counts.withColumn("total", F.sum("n").over(all_of)).where(F.col("n") >= FUNCTION_SHARE * everything)
-    rows = counts.collect()
+    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy("lang")))
+    rows = counts.where((F.col("n") >= FUNCTION_SHARE * F.col("total")) & ~F.col("word").rlike("^[0-9]") | F.col("word").isin(LINK, PRICE, LABEL)).collect()
     whole = sum({r["lang"]: r["total"] for r in rows}.values())
-    out: dict[str, set[str]] = {}
+    out: dict[str, dict[str, float]] = {}
     for r in rows:
         if r["total"] >= LANGUAGE_SHARE * whole:
-            out.setdefault(r["lang"], set()).add(r["word"])
+            out.setdefault(r["lang"], {LINK: 0.5 / r["total"], PRICE: 0.5 / r["total"], LABEL: 0.5 / r["total"]})[r["word"]] = (r["n"] + 0.5) / r["total"]
     return out
 
 
-_BLOCK = "page bigint, block int, lang string, chars bigint, n int, d int, known double, prose boolean, plain boolean, listed boolean, spectrum array<struct<f:int,k:int>>"
-
-
-def block_statistics(pages: DataFrame, lexicon: dict[str, set[str]]) -> DataFrame:
-    """A row per block: words n, distinct d, share of function words, and the spectrum (k words occur f times each).
-
-    lang is the language whose function words fit best; `listed` marks bare links, prices and tags; `plain` text
-    hardly has digits or brackets. Blocks that can't matter are counted together.
+def _counted(found: dict[str, Counter], pa) -> Iterator:
+    rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+
+
+class _Lexicon:
+    """Function words of all languages by word."""
+
+    def __init__(self, shares: dict[str, dict[str, float]]):
+        self.shares = shares
+        self.owners: dict[str, tuple[str, ...]] = {}
+        for lang in sorted(shares):
+            for w in shares[lang]:
+                if w not in (LINK, PRICE, LABEL):
+                    self.owners[w] = (*self.owners.get(w, ()), lang)
+
+    def fit(self, count: Counter, n: int, lang: str) -> tuple[str, float]:
+        """Language with the greatest share of function words, the page's own if none has any, and that share."""
+        hits: dict[str, int] = {}
+        for w in self.owners.keys() & count.keys():
+            for owner in self.owners[w]:
+                hits[owner] = hits.get(owner, 0) + count[w]
+        if not hits:
+            return lang, 0.0
+        best = max(sorted(hits), key=hits.__getitem__)
+        return best, hits[best] / n
+
+    def entropy(self, count: Counter, n: int, lang: str) -> float:
+        """Relative entropy of links, prices, labels and all else against the language's prose, in nats a token."""
+        import math
+
+        expected = self.shares.get(lang) or {}
+        other, other_expected, total = 1.0, 1.0, 0.0
+        for c in (LINK, PRICE, LABEL):
+            q = expected.get(c, 1e-6)
+            other_expected -= q
+            if k := count.get(c, 0):
+                other -= k / n
+                total += k / n * math.log(k / n / q)
+        return total + (other * math.log(other / other_expected) if other > 0 else 0.0)
+
+
+def page_rows(text: str, lang: str, lexicon: _Lexicon) -> tuple[list[tuple], int]:
+    """(block, lang, chars, tokens, known, marks, listed, prose, pooled, spectrum) of the blocks with enough tokens, and the characters of the others.
+
+    The row of block -1 (`pooled`) has all text of the page that is no program, that of -2 all its prose.
+    """
+    rows, rest = [], 0
+    pool: list[Counter] = []
+    prose_pool: list[Counter] = []
+    pool_chars = prose_chars = pool_marks = 0
+    for i, b in enumerate(blocks(text)):
+        whole = len(b)
+        b = _without_data(b).strip()  # embedded images are neither prose nor spam
+        rest += whole - len(b)
+        chars = len(b)
+        count, marks = tokens(b)
+        n = count.total()
+        numbers = sum(k for t, k in count.items() if t[0].isdigit()) if n else 0
+        share = (numbers + marks) / (n + marks) if n + marks else 0.0
+        prose = _is_prose(b)
+        if n and share < PROGRAM / 2 or prose:
+            pool.append(count)
+            pool_chars += chars
+            pool_marks += numbers + marks
+            if prose:
+                prose_pool.append(count)
+                prose_chars += chars
+        special = LINK in count or PRICE in count or LABEL in count
+        if n < LEAST_TOKENS and not special:
+            rest += chars
+            continue
+        best, known = lexicon.fit(count, n, lang)
+        listed = lexicon.entropy(count, n, best) if special else 0.0
+        if n < LEAST_TOKENS and listed * n < LEAST_NATS:
+            rest += chars
+            continue
+        rows.append((i, best, chars, n, known, share, listed, prose, False, Counter(count.values())))
+    for at, counts, chars in ((-1, pool, pool_chars), (-2, prose_pool, prose_chars)):
+        if len(counts) > 1:
+            count = Counter()
+            for c in counts:
+                count.update(c)
+            n = count.total()
+            if n >= LEAST_TOKENS:
+                best, known = lexicon.fit(count, n, lang)
+                rows.append((at, best, chars, n, known, pool_marks / (n + pool_marks), 0.0, at == -2, True, Counter(count.values())))
+    return rows, rest
+
+
+_SCHEMA = "page bigint, block int, lang string, n_text bigint, n int, known double, marks double, listed double, prose boolean, pooled boolean, spectrum array<struct<f:int,k:int>>"
+
+
+def block_rows(pages: DataFrame, shares: dict[str, dict[str, float]]) -> DataFrame:
+    """A row per block with a curve or with links, prices or labels; lang is the language whose function words fit best.
+
+    n_text are its characters, n its tokens, known the share of function words, marks that of numbers and marks of
+    code, listed the relative entropy of links, prices and labels; the spectrum tells that k tokens occur f times
+    each. Other blocks are counted together (block -3). A page that occurs again in a task is read once.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(lexicon)
+    shared = pages.sparkSession.sparkContext.broadcast(shares)
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        lexicon = shared.value
-        names = ["doc_id", "page", "block", "lang", "chars", "n", "d", "known", "prose", "plain", "listed", "spectrum"]
-        kinds = [None, pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.struct([("f", pa.int32()), ("k", pa.int32())]))]
+        lexicon = _Lexicon(shared.value)
+        kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_())
+        names = ("page", "block", "lang", "n_text", "n", "known", "marks", "listed", "prose", "pooled")
+        seen: set = set()
         for batch in batches:
-            rows = []
+            docs, rows, spectra = [], [], []
             for doc, page, lang, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                rest = 0
-                for i, b in enumerate(blocks(text or "")):
-                    whole = len(b)
-                    b = _without_data(b).strip()  # embedded images are neither prose nor spam
-                    rest += whole - len(b)
-                    chars = len(b)
-                    plain = sum(map(b.count, "0123456789")) < 0.01 * chars and sum(map(b.count, "()[]{}=")) < 0.012 * chars
-                    prose, maybe = _is_prose(b), _maybe_listed(b)
-                    if not plain and not prose and not maybe:
-                        rest += chars
-                        continue
-                    count = Counter(words(b))
-                    n = sum(count.values())
-                    listed, prose = maybe and _listed(b, n, count, lexicon), prose and n >= 8
-                    if not listed and not prose and not (plain and n >= LEAST_WORDS):
-                        rest += chars
-                        continue
-                    best, known = _best(count, n, lang, lexicon)
-                    f = Counter(count.values()) if n >= 8 else {}
-                    rows.append((doc, page, i, best, chars, n, len(count), known, prose, plain, listed, [{"f": a, "k": k} for a, k in f.items()]))
+                if (doc, page) in seen:
+                    continue
+                seen.add((doc, page))
+                found, rest = page_rows(text or "", lang, lexicon)
+                for *row, spectrum in found:
+                    docs.append(doc)
+                    rows.append((page, *row))
+                    spectra.append(spectrum)
                 if rest:
-                    rows.append((doc, page, -1, None, rest, 0, 0, 0.0, False, False, False, []))
-            arrays = [pa.array([r[i] for r in rows], kinds[i] or batch.schema.field(0).type) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    docs.append(doc)
+                    rows.append((page, -3, None, rest, 0, 0.0, 0.0, 0.0, False, False))
+                    spectra.append({})
+            ends = np.cumsum([0, *map(len, spectra)], dtype="int32")
+            levels = pa.StructArray.from_arrays([pa.array([x for s in spectra for x in part(s)], pa.int32()) for part in (dict.keys, dict.values)], ["f", "k"])
+            arrays = [pa.array(docs, batch.schema.field(0).type), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), levels)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *names, "spectrum"])
 
     key = pages.schema["doc_id"].dataType.simpleString()
-    return pages.select("doc_id", "page", "lang", "text").mapInArrow(run, f"doc_id {key}, {_BLOCK}")
-
-
-def _best(count: Counter, n: int, lang: str, lexicon: dict[str, set[str]]) -> tuple[str, float]:
-    """Language with the greatest share of function words, the page's own if none has any, and that share."""
-    best, most = lang, 0
-    for l in sorted(lexicon):
-        hits = sum(count[w] for w in lexicon[l] if w in count)
-        if hits > most:
-            best, most = l, hits
-    return best, most / n if n else 0.0
-
+    return pages.select("doc_id", "page", "lang", "text").mapInArrow(run, f"doc_id {key}, {_SCHEMA}")
 
-def _maybe_listed(b: str) -> bool:
-    """Cheap necessary condition of _listed."""
-    return "://" in b or any(map(b.__contains__, "$€£¥#@+")) or "EUR" in b or "USD" in b or "GBP" in b or "<li>" in b or "[" in b and _BRACKETED.search(b) is not None
 
+def fitted_curves(rows: DataFrame) -> DataFrame:
+    """`rows` with d (different tokens), slope and residual of log frequency on log rank over all different tokens, and the
+    shares c1, c2, c4 .. of the text that the most frequent 1, 2, 4 .. tokens cover.
 
-def _listed(b: str, n: int, count: Counter, lexicon: dict[str, set[str]]) -> bool:
-    """Bare links, prices or labels rather than sentences."""
-    links = _URL.findall(b) if "://" in b else []
-    if links and sum(map(len, links)) > 0.3 * len(b) and not _LIST.match(b):
-        if n <= 4 * len(links) or len(links) >= 3 and _best(count, n, "", lexicon)[1] < 0.12:
-            return True
-    if len(_PRICE.findall(b)) > 0.5 * (b.count("\n") + 1):
-        return True
-    labels = len(_LABEL.findall(b))
-    return labels > 0 and labels > 0.3 * len(_RUN.findall(b))
-
-
-def fitted_curves(stats: DataFrame) -> DataFrame:
-    """`stats` (block rows with words) with slope and residual of log frequency on log rank, fitted over all words.
-
-    Words of equal frequency share the middle of their ranks. Null slope where all words are equally frequent.
+    Tokens of equal frequency share the middle of their ranks. The slope is null where all tokens are equally frequent.
+    Rows that occur again count once.
     """
     key = ["doc_id", "page", "block"]
-    levels = stats.select(*key, F.inline("spectrum"))
+    rest = [c for c in rows.columns if c not in (*key, "spectrum")]
+    # partitioned by (page, block) once; the window and both aggregations keep that partitioning
+    levels = rows.select(*key, *rest, "spectrum").repartition(*key).select(*key, *rest, F.inline("spectrum")).distinct()
     up_to = Window.partitionBy(*key).orderBy(F.col("f").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    levels = levels.withColumn("upto", F.sum("k").over(up_to)).withColumns({"x": F.log(F.col("upto") - (F.col("k") - 1) / 2), "y": F.log("f")})
+    levels = levels.withColumns({"upto": F.sum("k").over(up_to), "mass": F.sum(F.col("f") * F.col("k")).over(up_to)})
+    levels = levels.withColumns({"x": F.log(F.col("upto") - (F.col("k") - 1) / 2), "y": F.log("f"), "before": F.col("upto") - F.col("k")})
     s = lambda e: F.sum(F.col("k") * e)
     x, y = F.col("x"), F.col("y")
-    sums = levels.groupBy(*key).agg(F.sum("k").alias("w"), s(x).alias("sx"), s(y).alias("sy"), s(x * x).alias("sxx"), s(x * y).alias("sxy"), s(y * y).alias("syy"))
-    vx, vy, c = (F.col(a) / F.col("w") - F.col(b) * F.col(d) / F.col("w") / F.col("w") for a, b, d in (("sxx", "sx", "sx"), ("syy", "sy", "sy"), ("sxy", "sx", "sy")))
+    covered = lambda r: F.max(F.when(F.col("before") < r, F.least(F.col("mass"), F.col("mass") - F.col("f") * (F.col("upto") - r)))) / F.max("mass")
+    moments = [F.sum("k").alias("d"), s(x).alias("sx"), s(y).alias("sy"), s(x * x).alias("sxx"), s(x * y).alias("sxy"), s(y * y).alias("syy")]
+    sums = levels.groupBy(*key).agg(*[F.any_value(c).alias(c) for c in rest], *moments, *[covered(r).alias(f"c{r}") for r in RANKS])
+    vx, vy, c = (F.col(a) / F.col("d") - F.col(b) * F.col(e) / F.col("d") / F.col("d") for a, b, e in (("sxx", "sx", "sx"), ("syy", "sy", "sy"), ("sxy", "sx", "sy")))
     slope = F.when(vx > 1e-9, F.try_divide(c, vx))
-    fit = sums.select(*key, slope.alias("slope"), F.sqrt(F.greatest(vy - F.coalesce(slope * c, F.lit(0.0)), F.lit(0.0))).alias("residual"))
-    return stats.drop("spectrum").join(fit, key)
+    return sums.select(*key, *rest, "d", slope.alias("slope"), F.sqrt(F.greatest(vy - F.coalesce(slope * c, F.lit(0.0)), F.lit(0.0))).alias("residual"), *[f"c{r}" for r in RANKS])
 
 
-def prose_reference(curves: DataFrame) -> list[tuple]:
-    """(lang, bin, mean and deviation of distinct share, slope, residual and share of function words) of prose, for every bin of doubling lengths.
+#: Measures of a curve with their least deviation.
+_MEASURES = {"slope": 0.05, "residual": 0.03, **{f"c{r}": 0.03 for r in RANKS}}
 
-    A language's bin with fewer than 30 blocks takes those of all languages; an empty bin that of the nearest.
+
+def references(curves: DataFrame) -> tuple[list[tuple], float, float]:
+    """Reference rows (lang, bin, then mean and deviation of each measure in prose, the same in code and output, mean share of function words), and the mean marks of prose and of code and output.
+
+    Bins are doubling lengths. A language's bin with fewer than 30 rows takes those of all languages, which stand
+    under the language null as well; a bin still without enough takes the nearest. No rows if there is no prose.
     """
-    p = curves.where("prose").withColumns({"bin": F.floor(F.log2("n")).cast("int"), "dn": F.col("d") / F.col("n")})
-    agg = [F.count(F.lit(1)).alias("k")] + [g(c).alias(f"{g.__name__}_{c}") for c in ("dn", "slope", "residual", "known") for g in (F.avg, F.stddev_pop)]
-    own = p.groupBy("lang", "bin").agg(*agg).collect()
-    every = {r["bin"]: r for r in p.groupBy("bin").agg(*agg).collect()}
-    if not every:
-        return []
-    mine = {(r["lang"], r["bin"]): r for r in own if r["k"] >= 30}
-    common = {b: r for b, r in every.items() if r["k"] >= 30} or every
+    program = ~F.col("prose") & ~F.col("pooled") & (F.col("marks") >= PROGRAM) & (F.col("listed") < LISTED)
+    base = curves.where("n >= 12").withColumns({"bin": F.least(F.floor(F.log2("n")), F.lit(31)).cast("int"), "program": program}).where("prose or program")
+    agg = [F.count(F.lit(1)).alias("rows"), F.avg("known").alias("known"), F.sum("marks").alias("marks")] + [g(c).alias(f"{g.__name__}_{c}") for c in _MEASURES for g in (F.avg, F.stddev_pop)]
+    own = base.where("prose").groupBy("lang", "bin").agg(*agg).collect()  # bounded by languages x bins
+    every = base.groupBy("program", "bin").agg(*agg).collect()
+    prose, code = ({r["bin"]: r for r in every if r["program"] == p} for p in (False, True))
+    if not prose:
+        return [], 0.0, 1.0
+    mean_marks = [sum(r["marks"] for r in of.values()) / max(1, sum(r["rows"] for r in of.values())) for of in (prose, code)]
+    enough = lambda of: {b: r for b, r in of.items() if r["rows"] >= 30} or of
+    prose, code, mine = enough(prose), enough(code) or prose, {(r["lang"], r["bin"]): r for r in own if r["rows"] >= 30}
+
+    def values(r) -> list[float]:
+        return [v for c, least in _MEASURES.items() for v in (r[f"avg_{c}"] or 0.0, max(r[f"stddev_pop_{c}"] or 0.0, least))]
+
+    nearest = lambda of, b: of[min(of, key=lambda at: (abs(at - b), at))]
     out = []
-    for lang in sorted({r["lang"] for r in own} | {None}, key=str):
-        for b in range(0, 32):
-            r = mine.get((lang, b)) or common[min(common, key=lambda c: (abs(c - b), c))]
-            values = [(r[f"avg_{c}"] if r[f"avg_{c}"] is not None else 0.0, max(r[f"stddev_pop_{c}"] or 0.0, least)) for c, least in (("dn", 0.03), ("slope", 0.05), ("residual", 0.03), ("known", 0.01))]
-            out.append((lang, b, *[float(v) for pair in values for v in pair]))
-    return out
+    for lang in [None, *sorted({r["lang"] for r in own if r["lang"] is not None})]:
+        for b in range(32):
+            r = mine.get((lang, b)) or nearest(prose, b)
+            out.append((lang, b, *values(r), *values(nearest(code, b)), float(r["known"])))
+    return out, mean_marks[0], max(mean_marks[1], PROGRAM)
+
+
+def judged(curves: DataFrame) -> DataFrame:
+    """`curves` with `steep`, `loose` and `far` (deviations of slope, residual and divergence from the reference) and `spam`."""
+    reference, plain, marked = references(curves)
+    names = [f"{kind}_{c}_{v}" for kind in ("p", "q") for c in _MEASURES for v in ("mean", "sd")]
+    ref = F.broadcast(curves.sparkSession.createDataFrame(reference, "r_lang string, r_bin int, " + ", ".join(f"{c} double" for c in names) + ", p_known double"))
+    known = sorted({r[0] for r in reference if r[0] is not None})
+    rows = curves.withColumns({"l": F.when(F.col("lang").isin(known), F.col("lang")), "bin": F.least(F.floor(F.log2(F.greatest("n", F.lit(1)))), F.lit(31)).cast("int"), "w": F.least(F.greatest((F.col("marks") - plain) / (marked - plain), F.lit(0.0)), F.lit(1.0))})
+    rows = rows.join(ref, rows["l"].eqNullSafe(ref["r_lang"]) & (rows["bin"] == ref["r_bin"]), "left")
+    between = lambda c, v: (1 - F.col("w")) * F.col(f"p_{c}_{v}") + F.col("w") * F.col(f"q_{c}_{v}")
+    off = lambda c: (F.col(c) - between(c, "mean")) / between(c, "sd")
+    rows = rows.withColumns({"steep": F.abs(off("slope")), "loose": off("residual"), "far": F.greatest(*[off(f"c{r}") for r in RANKS])})
+    extreme = F.coalesce(F.col("steep") > STEEP, F.lit(False)) | (F.col("loose") > LOOSE) | (F.col("far") > FAR)
+    curve = (F.col("n") >= LEAST_TOKENS) & ((F.col("known") < FOREIGN * F.col("p_known")) & extreme | (F.col("far") > ALONE))
+    listed = (F.col("listed") > LISTED) & (F.col("listed") * F.col("n") >= LEAST_NATS)
+    return rows.select(*curves.columns, "steep", "loose", "far", (F.coalesce(curve, F.lit(False)) | listed).alias("spam"))
 
 
 def spam_pages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -257,24 +388,20 @@ def spam_pages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
 
     Null, empty and blank texts have share 0. Null or wrong languages are replaced by the one whose function words
     fit. Rows of the same id with the same text are one page; with different texts the greatest share holds. Texts
-    of any length are read whole; other columns are ignored; an empty table gives no rows.
+    of any length are read whole; other columns are ignored; an empty table gives no rows. Where the corpus has no
+    prose there is nothing to compare curves with, and only links, prices and labels count.
     """
-    spark = docs.sparkSession
     pages = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("page"), _language(lang).alias("lang"), F.col(text).alias("text"))
-    lexicon = function_words(pages)
-    stats = block_statistics(pages, lexicon).persist()
-    curves = fitted_curves(stats.where("n >= 8 and (prose or plain) and not listed"))
-    reference = prose_reference(curves)
-    ref = F.broadcast(spark.createDataFrame(reference, "r_lang string, bin int, dn_mean double, dn_sd double, slope_mean double, slope_sd double, residual_mean double, residual_sd double, known_mean double, known_sd double"))
-    known = [r[0] for r in reference]
-    look = curves.where((F.col("n") >= LEAST_WORDS) & F.col("plain")).withColumn("r_lang", F.when(F.col("lang").isin([k for k in set(known) if k is not None]), F.col("lang"))).withColumn("bin", F.least(F.floor(F.log2("n")), F.lit(31)).cast("int"))
-    look = look.join(ref, look["r_lang"].eqNullSafe(ref["r_lang"]) & (look["bin"] == ref["bin"]))
-    dn = F.col("d") / F.col("n")
-    steep = F.coalesce(F.col("slope") < F.col("slope_mean") - 2.5 * F.col("slope_sd"), F.lit(False)) | (F.col("residual") > F.col("residual_mean") + 4 * F.col("residual_sd"))
-    low = dn < F.col("dn_mean") - 3 * F.col("dn_sd")
-    far = dn < F.col("dn_mean") - 5 * F.col("dn_sd")
-    stuffed = look.where(((F.col("known") < 0.55 * F.col("known_mean")) & (steep | low)) | far).groupBy("doc_id", "page").agg(F.sum("chars").alias("stuffed"))
-    sums = stats.groupBy("doc_id", "page").agg(F.sum("chars").alias("chars"), F.sum(F.when(F.col("listed"), F.col("chars")).otherwise(0)).alias("listed"))
-    share = sums.join(stuffed, ["doc_id", "page"], "left").select("doc_id", ((F.col("listed") + F.coalesce("stuffed", F.lit(0))) / F.col("chars")).alias("share"))
-    per = docs.select(F.col(doc_id).alias("doc_id")).distinct().join(share.groupBy("doc_id").agg(F.max("share").alias("share")), "doc_id", "left")
+    rows = block_rows(pages, lexicon_of(pages)).persist()
+    curves = fitted_curves(rows.where("block > -3")).persist()
+    each = judged(curves).select("doc_id", "page", "block", "n_text", "pooled", "prose", "spam")
+    each = each.unionByName(rows.where("block = -3").distinct().select("doc_id", "page", "block", "n_text", "pooled", "prose", F.lit(False).alias("spam")))
+    # the text outside programs is spam as a whole where its one curve is; prose alone only serves the reference
+    sums = each.groupBy("doc_id", "page").agg(
+        F.sum(F.when(~F.col("pooled"), F.col("n_text"))).alias("all"),
+        F.sum(F.when(~F.col("pooled") & F.col("spam"), F.col("n_text")).otherwise(0)).alias("parts"),
+        F.max(F.when(F.col("pooled") & ~F.col("prose") & F.col("spam"), F.col("n_text")).otherwise(0)).alias("whole"),
+    )
+    share = sums.groupBy("doc_id").agg(F.max(F.try_divide(F.greatest("parts", "whole").cast("double"), F.col("all"))).alias("share"))
+    per = docs.select(F.col(doc_id).alias("doc_id")).distinct().join(share, "doc_id", "left")
     return per.select(F.col("doc_id").alias(doc_id), F.coalesce("share", F.lit(0.0)).alias("spam_share"), (F.coalesce("share", F.lit(0.0)) > MOST).alias("spam"))
