@@ -53,8 +53,11 @@ def test_curve_matches_numpy(spark):
 
 
 def test_tokens():
-    count, marks = pages.tokens("[Buy](http://a.test/x) one #Sale, [sofa] EUR 12.50 <b>(3)</b> 'http://b.test' 你好 <a href=\"http://c.test\">")
+    found, marks = pages.tokens("[Buy](http://a.test/x) one #Sale, [sofa] EUR 12.50 <b>(3)</b> 'http://b.test' 你好 <a href=\"http://c.test\">")
+    count = {t: found.count(t) for t in found}
     assert count == {pages.LINK: 2, pages.LABEL: 2, pages.PRICE: 1, "buy": 1, "one": 1, "sale": 1, "sofa": 1, "3": 1, "你": 1, "好": 1} and marks == 4
+    assert pages.tokens("for i in 1:46 frame[i] = grid[i] / 2.5, end")[0] == ["for", "i", "in", "1", "46", "frame", "i", "grid", "i", "2.5", "end"]
+    assert pages.tokens("Für (x) = 3,5. 你好") == (["für", "x", "3,5", "你", "好"], 3)
 
 
 def test_keywords_among_numbers_and_brackets(spark):

@@ -16,6 +16,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,19 +45,25 @@ LINK, PRICE, LABEL = "<link>", "<price>", "<label>"
 _COLOURS = re.compile(r"\x1b\[[0-9;]*m|\[[0-9;]+m")
 _MARKER = re.compile(r"\s*(?:#\s*%%.*|In ?\[[^\]]*\]:|Out ?\[[^\]]*\]:|`{3,}.*|~{3,}.*|#\s*out:\s*)$")
 _PREFIX = re.compile(r"\s*(?:#+(?:\s+|$))+")
+_CODES = ("eur", "usd", "gbp", "jpy", "cny", "chf", "cad", "aud", "inr", "brl", "mxn", "sek", "nok", "dkk", "pln")
+_SIGNS = "$€£¥₹₽₩₪฿₫₴₺₦"
+_SINGLE = "㐀-鿿぀-ヿ가-힯"
+_NUMBER = r"\d+(?:[.,]\d+)*"
 #: Tokens of lower-case text: links, quoted addresses, tags, prices, labels, words (a character of scripts without spaces), numbers, marks of code.
 _TOKEN = re.compile(
     r"<[a-z/][^<>]*>"
     r"|(?:\]\()?https?://[^\s\"'<>)\]]+"
     r"|[\"']https?://[^\s\"']+[\"']"
-    r"|(?:[$€£¥₹₽₩₪฿₫₴₺₦]|\b(?:eur|usd|gbp|jpy|cny|chf|cad|aud|inr|brl|mxn|sek|nok|dkk|pln)) ?\d[\d.,]*"
+    rf"|(?:[{_SIGNS}]|\b(?:{'|'.join(_CODES)})) ?{_NUMBER}"
     r"|(?:^|(?<=\s)|(?<=[^\W\d_]))[#@+](?=[^\W\d_])"
-    r"|\[[^\W\d_]+\](?!\()"
-    r"|[㐀-鿿぀-ヿ가-힯]|[^\W\d_㐀-鿿぀-ヿ가-힯]+"
-    r"|\d[\d.,]*"
-    r"|[()\[\]{}=]",
+    r"|(?<!\w)\[[^\W\d_]+\](?!\()"
+    rf"|[{_SINGLE}]|[^\W\d_{_SINGLE}]+|{_NUMBER}|[()\[\]{{}}=]",
     re.MULTILINE,
 )
+#: The same where none of _SPECIAL occurs.
+_PLAIN = re.compile(rf"[^\W\d_{_SINGLE}]+|[{_SINGLE}]|{_NUMBER}|[(){{}}=]")
+_ASCII = re.compile(rf"[a-z]+|{_NUMBER}|[(){{}}=]")
+_SPECIAL = (*"<[]#@+" + _SIGNS, "://", *_CODES)
 _DATA = re.compile(r"[A-Za-z0-9+/=]{80,}")
 #: Invisible characters, and spaces that JSON doesn't take for spaces.
 _ODD = dict.fromkeys(map(ord, "\u200b\u200c\u200d\u2060\ufeff")) | dict.fromkeys(map(ord, "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"), " ")
@@ -112,30 +119,34 @@ def blocks(text: str) -> list[str]:
     return out
 
 
-def tokens(block: str) -> tuple[Counter, int]:
-    """Counts of words, numbers, links, prices and labels, and the number of marks of code."""
-    count = Counter(_TOKEN.findall(block.lower()))
-    marks = 0
-    for t in [t for t in count if not t.isalpha()]:
-        n = count.pop(t)
+def tokens(block: str) -> tuple[list[str], int]:
+    """Words, numbers, links, prices and labels, and the number of marks of code."""
+    text = block.lower()
+    if not any(map(text.__contains__, _SPECIAL)):
+        found = (_ASCII if text.isascii() else _PLAIN).findall(text)
+        marks = sum(map(text.count, "(){}="))
+        return ([t for t in found if t not in "(){}="] if marks else found), marks
+    out, marks = [], 0
+    for t in _TOKEN.findall(text):
         first = t[0]
-        if "://" in t and first not in "\"'" and (first != "<" or t[1:3] == "a "):
-            count[LINK] += n
+        if t.isalnum():
+            out.append(t)
+        elif "://" in t and first not in "\"'" and (first != "<" or t[1:3] == "a "):
+            out.append(LINK)
         elif first in "<\"'":  # tags are no text, a quoted address is a value in code
             if t == "<li>":
-                count[LABEL] += n
+                out.append(LABEL)
         elif first == "[" and len(t) > 1:
-            count[LABEL] += n
-            count[t[1:-1]] += n
+            out += (LABEL, t[1:-1])
         elif first in "()[]{}=":
-            marks += n
+            marks += 1
         elif first in "#@+":
-            count[LABEL] += n
+            out.append(LABEL)
         elif first.isdigit():
-            count[t.rstrip(".,")] += n
+            out.append(t)
         else:
-            count[PRICE] += n
-    return count, marks
+            out.append(PRICE)
+    return out, marks
 
 
 def _is_prose(block: str) -> bool:
@@ -152,13 +163,13 @@ def lexicon_of(pages: DataFrame) -> dict[str, dict[str, float]]:
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        found: dict[str, Counter] = {}
+        found: dict[str, list[str]] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for b in blocks(text or ""):
                     if _is_prose(b):
-                        found.setdefault(lang, Counter()).update(tokens(b)[0])
-            if sum(map(len, found.values())) > 200_000:
+                        found.setdefault(lang, []).extend(tokens(b)[0])
+            if sum(map(len, found.values())) > 2_000_000:
                 yield from _counted(found, pa)
                 found = {}
         yield from _counted(found, pa)
@@ -174,8 +185,8 @@ def lexicon_of(pages: DataFrame) -> dict[str, dict[str, float]]:
     return out
 
 
-def _counted(found: dict[str, Counter], pa) -> Iterator:
-    rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
+def _counted(found: dict[str, list[str]], pa) -> Iterator:
+    rows = [(lang, w, n) for lang, words in found.items() for w, n in Counter(words).items()]
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
 
@@ -222,25 +233,26 @@ def page_rows(text: str, lang: str, lexicon: _Lexicon) -> tuple[list[tuple], int
     The row of block -1 (`pooled`) has all text of the page that is no program, that of -2 all its prose.
     """
     rows, rest = [], 0
-    pool: list[Counter] = []
-    prose_pool: list[Counter] = []
+    pool: list[list[str]] = []
+    prose_pool: list[list[str]] = []
     pool_chars = prose_chars = pool_marks = 0
     for i, b in enumerate(blocks(text)):
         whole = len(b)
         b = _without_data(b).strip()  # embedded images are neither prose nor spam
         rest += whole - len(b)
         chars = len(b)
-        count, marks = tokens(b)
-        n = count.total()
-        numbers = sum(k for t, k in count.items() if t[0].isdigit()) if n else 0
-        share = (numbers + marks) / (n + marks) if n + marks else 0.0
+        found, marks = tokens(b)
+        n = len(found)
+        count = Counter(found)
+        marks += sum(k for t, k in count.items() if t[0] in "0123456789" or t[0].isdigit())
+        share = marks / (n + marks) if n + marks else 0.0
         prose = _is_prose(b)
         if n and share < PROGRAM / 2 or prose:
-            pool.append(count)
+            pool.append(found)
             pool_chars += chars
-            pool_marks += numbers + marks
+            pool_marks += marks
             if prose:
-                prose_pool.append(count)
+                prose_pool.append(found)
                 prose_chars += chars
         special = LINK in count or PRICE in count or LABEL in count
         if n < LEAST_TOKENS and not special:
@@ -252,11 +264,9 @@ def page_rows(text: str, lang: str, lexicon: _Lexicon) -> tuple[list[tuple], int
             rest += chars
             continue
         rows.append((i, best, chars, n, known, share, listed, prose, False, Counter(count.values())))
-    for at, counts, chars in ((-1, pool, pool_chars), (-2, prose_pool, prose_chars)):
-        if len(counts) > 1:
-            count = Counter()
-            for c in counts:
-                count.update(c)
+    for at, lists, chars in ((-1, pool, pool_chars), (-2, prose_pool, prose_chars)):
+        if len(lists) > 1:
+            count = Counter(chain.from_iterable(lists))
             n = count.total()
             if n >= LEAST_TOKENS:
                 best, known = lexicon.fit(count, n, lang)
