@@ -42,3 +42,21 @@ def test_groups_across_batches(spark):
         assert got == brute(rows, 4)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_any_batch_size(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None, "c"]), rng.choice([None, float(rng.randint(0, 4))]), rng.choice(["p", "q", None]), rng.randint(0, 3), "x") for _ in range(300)]
+    df = spark.createDataFrame(rows, "g string, s double, i string, j int, e string").repartition(3)
+    want = {}
+    for g, s, i, j, _ in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[2] is not None, r[2] or "", r[3])):
+        kept = want.setdefault(g, [])
+        if len(kept) < 5 and (i, j) not in kept:
+            kept.append((i, j))
+    for size in ("1", "2", "7", "1000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = sorted((str(r["g"]), str(r["i"]), r["j"]) for r in top_n(df, ["g"], order(), ["i", "j"], 5).collect())
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == sorted((str(g), str(i), j) for g, v in want.items() for i, j in v)

@@ -7,51 +7,47 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _changed(column):
-    """Mask of the rows that differ from the row before; null equals null."""
-    import numpy as np
-    import pyarrow.compute as pc
-
-    if len(column) < 2:
-        return np.zeros(max(0, len(column) - 1), bool)
-    a, b = column.slice(1), column.slice(0, len(column) - 1)
-    differ = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
-    return differ | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+from tidewheel.llm.runs import codes, column, starts
 
 
 def first_n(batches: Iterator, groups: list[str], items: list[str], n: int) -> Iterator:
     """Of batches sorted by group and rank, the first row of each group's first n different items.
 
-    State is the current group's key and its at most n items; rows after them are skipped unread.
+    State is the last group's key and its at most n items. A batch is worked on as a whole: repeated items of a run are
+    dropped and the others numbered.
     """
     import numpy as np
     import pyarrow as pa
 
-    key, seen = None, set()
+    key, kept = None, set()
     for batch in batches:
         if not batch.num_rows:
             continue
-        start = np.zeros(batch.num_rows, bool)
-        start[0] = True
-        for g in groups:
-            start[1:] |= _changed(batch.column(batch.schema.get_field_index(g)))
-        runs = np.append(np.flatnonzero(start), batch.num_rows)
-        group_cols = [batch.column(batch.schema.get_field_index(g)) for g in groups]
-        item_cols = [batch.column(batch.schema.get_field_index(i)) for i in items]
-        keep = []
-        for a, b in zip(runs[:-1], runs[1:]):
-            now = tuple(c[int(a)].as_py() for c in group_cols)
-            if key is None or now != key:
-                key, seen = now, set()
-            for row in range(int(a), int(b)):
-                if len(seen) >= n:
+        start = starts(batch, groups)
+        run, begin = np.cumsum(start) - 1, np.flatnonzero(start)
+        group_cols, item_cols = ([column(batch, c) for c in names] for names in (groups, items))
+        key_of = lambda row: [c.slice(int(row), 1) for c in group_cols]
+        item_of = lambda row: tuple(c[int(row)].as_py() for c in item_cols)
+        goes_on = key is not None and all(a.equals(b) for a, b in zip(key, key_of(0)))
+        code = codes(item_cols, batch.num_rows)
+        first = np.sort(np.unique(run * (int(code.max()) + 1) + code, return_index=True)[1])  # an item's first row in its run
+        if goes_on:  # what is left of the group that began in an earlier batch
+            more, mine = [], first[run[first] == 0] if len(kept) < n else ()
+            for row in mine:
+                if len(kept) == n:
                     break
-                item = tuple(c[row].as_py() for c in item_cols)
-                if item not in seen:
-                    seen.add(item)
-                    keep.append(row)
-        if keep:
+                if (item := item_of(row)) not in kept:
+                    kept.add(item)
+                    more.append(row)
+            first = first[run[first] > 0]
+        place = np.arange(len(first)) - np.searchsorted(run[first], run[first])
+        keep = first[place < n]
+        last = len(begin) - 1
+        if not goes_on or last > 0:
+            key, kept = key_of(begin[last]), {item_of(row) for row in keep[run[keep] == last]}
+        if goes_on and more:
+            keep = np.concatenate([np.array(more), keep])
+        if len(keep):
             yield batch.take(pa.array(keep))
 
 
