@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewheel.operators.asof import known_at
 from tidewheel.operators.intervals import merged_intervals
 from tidewheel.operators.keyed_selection import frequent_values, per_key_profile, per_key_quantiles
-from tidewheel.operators.mixture_fill import fill_missing
+from tidewheel.operators.mixture_fill import MOST_CODES, Model, fill_missing, fit, fit_report, mark_missing
 from tidewheel.operators.orphans import reference_status
 from tidewheel.operators.skew import prefix_sums, skew_safe_left_join
 
@@ -104,6 +104,55 @@ def test_fill_masks_and_values(spark):
     filled = [r for r in got.values() if r["c_filled"] and r["g"].startswith("g")]
     assert filled and all(r["c_value"] == 1000 + int(r["g"][1:]) % 5 for r in filled)
     assert all(r["b_value"] == r["b"] for r in got.values() if r["b"] is not None)
+    marks = mark_missing(df, "g", "y", {"a": (0.0, 1e7), "b": (0.0, 1e7)}, 2, "c", (100, 8999))
+    assert marks.columns == [*df.columns, "a_filled", "b_filled", "c_filled"]
+    flags = lambda rows: sorted((str(r["g"]), r["y"], r["a_filled"], r["b_filled"], r["c_filled"]) for r in rows)
+    assert flags(marks.collect()) == flags(got.values())
+    report = fit_report(df, "g", "y", {"a": (0.0, 1e7), "b": (0.0, 1e7)}, 2, "c", (100, 8999)).first()
+    assert report["converged"] and report["n_rows"] == len(data) and report["steps"] >= 2
+    with pytest.raises(ValueError):
+        mark_missing(df, "g", "y", {}, 2, "c", (0, MOST_CODES))
+
+
+def test_fill_finds_a_known_mixture(spark):
+    """Two classes with different slopes: parameters are found again, and the fill is the conditional expectation."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    n = 4000
+    k = rng.random(n) < 0.3
+    x = np.where(k, rng.normal(4, 0.5, n), rng.normal(0, 1, n))
+    y = np.where(k, 1 - x, 2 * x) + rng.normal(0, 0.3, n)
+    seen = rng.random(n) < 0.8
+    rows = spark.createDataFrame([(float(a), float(b) if s else None, int(c) if s else None) for a, b, c, s in zip(x, y, k, seen)], "__x0 double, __x1 double, __cat bigint")
+    with pytest.warns(RuntimeWarning):
+        assert not fit(rows, 2, 2, 2, 1e-9).converged
+    model = fit(rows, 2, 2, 400, 1e-6)
+    assert model.converged
+    j = int(np.argmax(model.mean[:, 0]))
+    assert model.weight[j] == pytest.approx(0.3, abs=0.03) and model.mean[j] == pytest.approx([4, -3], abs=0.15) and model.mean[1 - j] == pytest.approx([0, 0], abs=0.15)
+    assert model.cov[1 - j][0, 1] == pytest.approx(2, abs=0.2) and model.table[j, model.cats[1]] > 0.95
+    again = model.of(model.vector())
+    assert isinstance(again, Model) and np.allclose(again.cov, model.cov) and np.allclose(again.table, model.table) and np.allclose(again.weight, model.weight)
+
+
+def test_guesses_beat_the_group_mean(spark):
+    """Held out: values follow the year of their group more than the group."""
+    rng = random.Random(3)
+    data = []
+    for g in range(60):
+        for y in range(2000, 2010):
+            level = 5 + g % 7 + rng.gauss(0, 0.8)
+            data += [(f"g{g}", y, math.exp(level + rng.gauss(0, 0.05)), 7 if g % 2 else 8) for _ in range(rng.randint(1, 3))]
+    df = spark.createDataFrame(data, "g string, y int, a double, c int")
+    got = fill_missing(df, "g", "y", {"a": (0.0, 1e7)}, 2, "c", (1, 9), guess=True).where("a_guess is not null").collect()
+    mine = sum(abs(math.log(r["a_guess"] / r["a"])) for r in got) / len(got)
+    base = 0.0
+    for r in got:
+        rest = [a for g, y, a, _ in data if g == r["g"] and abs(y - r["y"]) <= 2]
+        base += abs(math.log((sum(rest) - r["a"]) / (len(rest) - 1) / r["a"])) / len(got)
+    assert mine < 0.8 * base and all(r["c_guess"] == r["c"] for r in got)
+    assert all(r["a_value"] == r["a"] and not r["a_filled"] for r in got)
 
 
 def test_fill_empty(spark):
@@ -165,9 +214,29 @@ def test_intervals_match_brute_force(spark):
 
 # ---------------------------------------------------------------- problem 7
 def test_reference_status(spark):
-    refs = spark.createDataFrame([("t", "1", 2000), ("t", "1", 2000), ("t", "2", 2000), ("t", "3", 2000), ("t", "4", 2000), ("t", None, 2000), ("t", "9", None), ("u", "1", 2000), ("t", "5", 2000)], "table_name string, ref_key string, period int")
-    parents = spark.createDataFrame([("t", "1", 1999, False), ("t", "1", 2005, False), ("t", "2", 1999, True), ("t", "3", 2001, None), ("t", "3", 1990, True), ("t", "5", None, False), ("t", None, 1, False)], "table_name string, ref_key string, valid_from int, deleted boolean").withColumn("status", F.lit("x"))
-    got = {(r["table_name"], r["ref_key"]): (r["status"], r["n_refs"]) for r in reference_status(refs, parents).collect()}
-    assert got == {("t", "1"): ("ok", 2), ("t", "2"): ("deleted", 1), ("t", "3"): ("late", 1), ("t", "4"): ("missing", 1), ("u", "1"): ("missing", 1), ("t", "5"): ("ok", 1)}
-    assert reference_status(refs.limit(0), parents).count() == 0
-    assert {r["status"] for r in reference_status(refs, parents.limit(0)).collect()} == {"missing"}
+    rng = random.Random(6)
+    refs = [(rng.choice("tu"), rng.choice(["1", "2", "3", "4", "5", "6", None]), rng.choice([None, *range(1995, 2011)])) for _ in range(600)]
+    span = lambda k: (rng.choice("tu"), k, rng.choice([None, rng.randint(1994, 2012)]) if rng.random() < 0.1 else rng.randint(1994, 2012), rng.choice([None, 1999, 2004, 2008]), rng.choice([True, False, None]))
+    parents = [span(rng.choice(["1", "2", "3", None])) for _ in range(14)] + [(a, "4", 1990, None, True) for a in "tu"] + [("t", "6", 2000, 2001, False), ("t", "6", 2005, 2004, None), ("t", "6", 2008, None, False), ("t", "6", 1990, None, True)]
+    r = spark.createDataFrame(refs + refs[:50], "table_name string, ref_key string, period int")
+    p = spark.createDataFrame(parents + parents[:3], "table_name string, ref_key string, valid_from int, valid_to int, deleted boolean").withColumn("status", F.lit("x")).withColumn("at", F.lit(1))
+    want = {}
+    for t, k, y in refs + refs[:50]:
+        if k is None or y is None:
+            continue
+        mine = [(-(2**31) if a is None else a, b, d) for tt, kk, a, b, d in parents if (tt, kk) == (t, k)]
+        live = [(a, max(a, b) if b is not None else 9999) for a, b, d in mine if not d]
+        if not mine:
+            status = "missing"
+        elif not live:
+            status = "deleted"
+        elif any(a <= y <= b for a, b in live):
+            status = "ok"
+        else:
+            status = "late" if all(a > y for a, _ in live) else "ended" if all(a <= y for a, _ in live) else "gap"
+        want[(t, k, y)] = (want.get((t, k, y), (0,))[0] + 1, status)
+    got = {(x["table_name"], x["ref_key"], x["period"]): (x["n_refs"], x["status"]) for x in reference_status(r, p).collect()}
+    assert got == want and {s for _, s in want.values()} == {"ok", "late", "ended", "gap", "deleted", "missing"}
+    assert reference_status(r.limit(0), p).count() == 0
+    assert {x["status"] for x in reference_status(r, p.limit(0)).collect()} == {"missing"}
+    assert {x["status"] for x in reference_status(r, p.drop("valid_to").where("ref_key = '6' and valid_from = 1990 or ref_key = '4'")).collect()} == {"missing", "deleted"}

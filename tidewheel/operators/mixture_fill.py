@@ -2,14 +2,15 @@
 
 A mixture of Gaussian-categorical classes is fitted by expectation-maximisation over all rows: numbers are
 Gaussian given the class, the category is multinomial given the class, and missing entries are integrated
-out. A row's numbers are the logs of its values and the mean logs of its donors (records of the same group
-within a window of time, the row itself left out), so that what is filled follows the group where there are
-donors and the class where they are weak. Each step sums sufficient statistics over the partitions; the
-driver only holds the model.
+out. A row's numbers are the logs of its values and, of its donors (records of the same group, the row itself left
+out), the mean logs of those within a window of time and of those of the same time. A missing number is filled with its
+conditional expectation, a category with its conditional mode given the group's records. Every step sums sufficient
+statistics over the partitions; the driver only holds the model.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 
 from tidewheel.operators.skew import skew_safe_left_join
 
-#: Least variance of a class, in logs squared.
+#: Rows of a class's fair share that weigh as much as the prior on its covariance, which is the spread of all rows without correlation.
 RIDGE = 1e-3
-#: Weight of the classes' categories against one record of the group.
-PRIOR = 0.9
+#: Records of a group that the classes' categories weigh as much as; pseudo-records of each category in a class.
+PRIOR, SMOOTH = 1.0, 0.01
+#: Most codes a category may have, so that a class's table is bounded.
+MOST_CODES = 20_000
 
 
 @dataclass
@@ -31,12 +34,39 @@ class Model:
     cov: object  # K x d x d
     cats: dict = field(default_factory=dict)  # category -> column of `table`
     table: object = None  # K x categories, rows sum to 1
-    steps: int = 0
-    loglik: float = float("-inf")
+    steps: int = 0  # passes over the rows
+    rows: int = 0
+    loglik: float = float("-inf")  # log likelihood with the priors, before the last step
+    converged: bool = False
+
+    def vector(self):
+        """Unconstrained parameters: logs of weights and tables, means, Cholesky factors with log diagonals."""
+        import numpy as np
+
+        low = np.linalg.cholesky(self.cov)
+        k, d = self.mean.shape
+        at = np.arange(d)
+        low[:, at, at] = np.log(low[:, at, at])
+        parts = [np.log(np.maximum(self.weight, 1e-12)), self.mean.ravel(), low[:, *np.tril_indices(d)].ravel()]
+        return np.concatenate(parts + ([np.log(self.table).ravel()] if self.table is not None else []))
+
+    def of(self, v) -> Model:
+        """A model of the same shape from unconstrained parameters."""
+        import numpy as np
+
+        k, d = self.mean.shape
+        size = d * (d + 1) // 2
+        w, mean, low, table = np.split(v, np.cumsum([k, k * d, k * size]))
+        factor = np.zeros((k, d, d))
+        factor[:, *np.tril_indices(d)] = low.reshape(k, size)
+        at = np.arange(d)
+        factor[:, at, at] = np.exp(factor[:, at, at])
+        share = lambda x: (e := np.exp(x - x.max(axis=-1, keepdims=True))) / e.sum(axis=-1, keepdims=True)
+        return Model(share(w), mean.reshape(k, d), factor @ factor.transpose(0, 2, 1), self.cats, share(table.reshape(k, -1)) if self.table is not None else None)
 
 
 def expect(model: Model, x, cat):
-    """Responsibilities (n x K), conditional means (K x n x d), conditional covariances by row pattern, log likelihood."""
+    """Responsibilities (n x K), conditional means (K x n x d), conditional covariances by row pattern, log likelihoods."""
     import numpy as np
 
     n, d, k = len(x), x.shape[1], len(model.weight)
@@ -64,16 +94,16 @@ def expect(model: Model, x, cat):
         extra.append((rows, covs))
     if model.table is not None:
         known = np.flatnonzero(cat >= 0)
-        logp[known] += np.log(np.maximum(model.table[:, cat[known]].T, 1e-12))
+        logp[known] += np.log(np.maximum(model.table[:, cat[known]].T, 1e-300))
     top = logp.max(axis=1, keepdims=True)
     like = top[:, 0] + np.log(np.exp(logp - top).sum(axis=1))
-    return np.exp(logp - like[:, None]), filled, extra, float(like.sum())
+    return np.exp(logp - like[:, None]), filled, extra, like
 
 
 def _features(f, width: int, cats: dict):
     import numpy as np
 
-    x = np.column_stack([f[f"__x{i}"].to_numpy("float64") for i in range(width)])
+    x = np.column_stack([f[f"__x{i}"].to_numpy("float64") for i in range(width)]) if width else np.empty((len(f), 0))
     cat = f["__cat"].map(cats).fillna(-1).to_numpy("int64") if cats else np.full(len(f), -1)
     return x, cat
 
@@ -89,7 +119,9 @@ def _statistics(frames: Iterator, model: Model, width: int) -> Iterator:
         if f.empty:
             continue
         x, cat = _features(f, width, model.cats)
+        w = f["__w"].to_numpy("float64")
         r, filled, extra, like = expect(model, x, cat)
+        r = r * w[:, None]
         for j in range(k):
             at = j * (1 + d + d * d)
             total[at] += r[:, j].sum()
@@ -98,7 +130,7 @@ def _statistics(frames: Iterator, model: Model, width: int) -> Iterator:
             for rows, covs in extra:
                 second += r[rows, j].sum() * covs[j]
             total[at + 1 + d : at + 1 + d + d * d] += second.ravel()
-        total[base] += like
+        total[base] += w @ like
         if model.table is not None:
             known = cat >= 0
             for j in range(k):
@@ -107,123 +139,208 @@ def _statistics(frames: Iterator, model: Model, width: int) -> Iterator:
     yield pd.DataFrame({"i": at.astype("int32"), "v": total[at]})
 
 
+def _step(rows: DataFrame, model: Model, n: int, spread) -> tuple[Model, float]:
+    """One step of expectation and maximisation over all rows, and the log likelihood (with priors) of the model before it."""
+    import numpy as np
+
+    k, d = model.mean.shape
+    got = rows.mapInPandas(lambda fs, m=model: _statistics(fs, m, d), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    base = k * (1 + d + d * d)
+    total = np.zeros(base + 1 + (model.table.size if model.table is not None else 0))
+    for i, v in got:
+        total[i] = v
+    draw, prior = RIDGE * n / k, np.diag(spread**2)
+    like = total[base] - 0.5 * draw * sum(np.linalg.slogdet(c)[1] + np.trace(np.linalg.solve(c, prior)) for c in model.cov) + (SMOOTH * np.log(np.maximum(model.table, 1e-300)).sum() if model.table is not None else 0.0)
+    weight, mean, cov = model.weight.copy(), model.mean.copy(), model.cov.copy()
+    for j in range(k):
+        at = j * (1 + d + d * d)
+        m = total[at]
+        weight[j] = max(m / n, 1e-12)
+        if m < 1e-6:
+            cov[j] = prior
+            continue  # an empty class keeps its place
+        mean[j] = total[at + 1 : at + 1 + d] / m
+        c = total[at + 1 + d : at + 1 + d + d * d].reshape(d, d) / m - np.outer(mean[j], mean[j])
+        cov[j] = (m * (c + c.T) / 2 + draw * prior) / (m + draw)
+    table = None
+    if model.table is not None:
+        table = total[base + 1 :].reshape(k, -1) + SMOOTH
+        table /= table.sum(axis=1, keepdims=True)
+    return Model(weight / weight.sum(), mean, cov, model.cats, table), float(like)
+
+
 def fit(rows: DataFrame, width: int, classes: int, max_steps: int, tolerance: float) -> Model:
-    """Model of columns __x0.. (null where missing) and __cat over all rows; deterministic."""
+    """Model of columns __x0.. (null where missing) and __cat over all rows; deterministic.
+
+    Equal rows are merged to one with a weight. Steps are extrapolated in pairs (squared extrapolation), and an
+    extrapolation that lowers the likelihood is dropped. It ends when a step gains at most `tolerance` nats a row; where that
+    takes more than max_steps passes, it warns and the model isn't marked as converged.
+    """
     import numpy as np
 
     agg = [F.count(F.lit(1)).alias("n")] + [g(f"__x{i}").alias(f"{g.__name__}{i}") for i in range(width) for g in (F.avg, F.stddev_pop)]
     s = rows.agg(*agg).first()
     centre = np.array([s[f"avg{i}"] if s[f"avg{i}"] is not None else 0.0 for i in range(width)])
-    spread = np.array([s[f"stddev_pop{i}"] or 1.0 for i in range(width)])
-    levels = [r[0] for r in rows.where("__cat is not null").select("__cat").distinct().orderBy("__cat").collect()]
-    model = Model(np.full(classes, 1 / classes), np.array([centre + spread * (j - (classes - 1) / 2) for j in range(classes)]), np.array([np.diag(spread**2 + RIDGE)] * classes), {c: i for i, c in enumerate(levels)}, np.full((classes, len(levels)), 1 / len(levels)) if levels else None)
+    spread = np.array([max(s[f"stddev_pop{i}"] or 1.0, 1e-3) for i in range(width)])
+    levels = [r[0] for r in rows.where("__cat is not null").select("__cat").distinct().orderBy("__cat").collect()]  # at most MOST_CODES
+    shares = np.full((classes, len(levels)), 1 / len(levels)) if levels else None
+    model = Model(np.full(classes, 1 / classes), np.array([centre + spread * (j - (classes - 1) / 2) for j in range(classes)]), np.array([np.diag(spread**2)] * classes), {c: i for i, c in enumerate(levels)}, shares, rows=s["n"])
     if not s["n"]:
         return model
-    d = width
-    for step in range(1, max_steps + 1):
-        got = rows.mapInPandas(lambda fs, m=model: _statistics(fs, m, width), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        base = classes * (1 + d + d * d)
-        total = np.zeros(base + 1 + (model.table.size if levels else 0))
-        for i, v in got:
-            total[i] = v
-        weight, mean, cov = model.weight.copy(), model.mean.copy(), model.cov.copy()
-        for j in range(classes):
-            at = j * (1 + d + d * d)
-            n = total[at]
-            if n < d + 2:  # an empty class keeps its shape and no weight
-                weight[j] = n / s["n"]
-                continue
-            weight[j], mean[j] = n / s["n"], total[at + 1 : at + 1 + d] / n
-            c = total[at + 1 + d : at + 1 + d + d * d].reshape(d, d) / n - np.outer(mean[j], mean[j])
-            cov[j] = (c + c.T) / 2 + RIDGE * np.eye(d)
-        table = None
-        if levels:
-            table = total[base + 1 :].reshape(classes, -1) + 0.01
-            table /= table.sum(axis=1, keepdims=True)
-        done = abs(total[base] - model.loglik) <= tolerance * abs(total[base])
-        model = Model(weight / weight.sum(), mean, cov, model.cats, table, step, total[base])
-        if done:
+    merged = rows.groupBy(*[f"__x{i}" for i in range(width)], "__cat").agg(F.count(F.lit(1)).alias("__w")).persist()
+    n, steps, converged, like = s["n"], 0, False, float("-inf")
+
+    def step(m: Model) -> tuple[Model, float]:
+        nonlocal steps
+        steps += 1
+        return _step(merged, m, n, spread)
+
+    while not converged and steps < max_steps:
+        one, before = step(model)
+        two, like = step(one)
+        if converged := like - before <= tolerance * n:
+            model = two
             break
+        v0, v1, v2 = (m.vector() for m in (model, one, two))
+        r, v = v1 - v0, v2 - 2 * v1 + v0
+        alpha = min(-1.0, -np.linalg.norm(r) / max(np.linalg.norm(v), 1e-12))
+        try:
+            far, got = step(model.of(v0 - 2 * alpha * r + alpha**2 * v))
+        except np.linalg.LinAlgError:
+            got = float("nan")
+        model, like = (far, got) if got >= like else (two, like)
+    merged.unpersist()
+    if not converged:
+        warnings.warn(f"the mixture still gains after {steps} passes", RuntimeWarning, stacklevel=2)
+    model.steps, model.rows, model.loglik, model.converged = steps, n, like, converged
     return model
 
 
-def fill_missing(df: DataFrame, group: str, time: str, numeric: dict[str, tuple[float, float]], window: int, category: str | None = None, valid: tuple[int, int] | None = None, classes: int = 3, max_steps: int = 8, tolerance: float = 1e-3) -> DataFrame:
-    """`df` with `<column>_value` (given or filled) and `<column>_filled` (true where filled) for each column.
-
-    numeric: column -> (low, high); a number is missing unless low < value < high, where low >= 0. It is filled
-    with the exponent of its conditional expected log if a record of the same group and at most `window` time
-    units away has a value; a category (whole number, missing unless within `valid`, both ends included) with
-    the conditional mode among the group's categories of any time. Without such a record, a group or (numbers)
-    a time, it stays null and unmarked. NaN counts as missing; repeated rows each keep their row; an empty table
-    stays empty. Existing columns of the result's names are replaced; all others are kept.
+def with_donors(df: DataFrame, group: str, time: str, numeric: dict[str, tuple[float, float]], window: int, category: str | None = None, valid: tuple[int, int] | None = None) -> DataFrame:
+    """`df` with its features: __x<i> (logs of the values), then of the window's donors, then of those of the same time; __cat; __codes (the group's categories with their counts).
 
     Donors are merged by (group, time) before anything is joined, and joined with frequent groups spread out.
     """
-    spark = df.sparkSession
-    names = list(numeric)
-    made = [f"{c}_{x}" for c in [*names, *([category] if category else [])] for x in ("value", "filled")]
-    df = df.drop(*made)
+    if category and valid[1] - valid[0] >= MOST_CODES:
+        raise ValueError(f"{category}: more than {MOST_CODES} codes")
+    m = len(numeric)
     rows = df.withColumns({f"__x{i}": F.when((F.col(c) > lo) & (F.col(c) < hi), F.log(F.col(c).cast("double"))) for i, (c, (lo, hi)) in enumerate(numeric.items())})
     rows = rows.withColumn("__cat", F.when(F.col(category).between(*valid), F.col(category).cast("bigint")) if category else F.lit(None).cast("bigint"))
     rows = rows.withColumns({"__g": F.col(group), "__t": F.col(time).cast("bigint")})
-    if names:
-        per = rows.where("__g is not null and __t is not null").groupBy("__g", "__t").agg(*[g(f"__x{i}").alias(f"__{g.__name__}{i}") for i in range(len(names)) for g in (F.sum, F.count)])
-        near = per.withColumn("__t", F.explode(F.sequence(F.col("__t") - window, F.col("__t") + window)))
-        near = near.groupBy("__g", "__t").agg(*[F.sum(f"__{g}{i}").alias(f"__{g}{i}") for i in range(len(names)) for g in ("sum", "count")])
-        rows = skew_safe_left_join(rows, near, ["__g", "__t"])
-        m = len(names)
-        for i in range(m):
-            own = F.when(F.col(f"__x{i}").isNotNull(), 1).otherwise(0)
-            others = F.coalesce(F.col(f"__count{i}"), F.lit(0)) - own
-            rows = rows.withColumn(f"__x{m + i}", F.when(others > 0, (F.col(f"__sum{i}") - F.coalesce(F.col(f"__x{i}"), F.lit(0.0))) / others))
-        rows = rows.drop(*[f"__{g}{i}" for i in range(m) for g in ("sum", "count")])
+    if m:
+        per = rows.where("__g is not null and __t is not null").groupBy("__g", "__t").agg(*[g(f"__x{i}").alias(f"__{g.__name__}{i}") for i in range(m) for g in (F.sum, F.count)])
+        near = per.withColumn("__off", F.explode(F.sequence(F.lit(-window), F.lit(window)))).withColumn("__t", F.col("__t") + F.col("__off"))
+        sums = [F.sum(F.col(f"__{g}{i}") if at == "w" else F.when(F.col("__off") == 0, F.col(f"__{g}{i}"))).alias(f"__{g}{at}{i}") for i in range(m) for g in ("sum", "count") for at in ("w", "s")]
+        rows = skew_safe_left_join(rows, near.groupBy("__g", "__t").agg(*sums), ["__g", "__t"])
+        for k, at in enumerate(("w", "s"), 1):
+            for i in range(m):
+                own = F.when(F.col(f"__x{i}").isNotNull(), 1).otherwise(0)
+                others = F.coalesce(F.col(f"__count{at}{i}"), F.lit(0)) - own
+                rows = rows.withColumn(f"__x{k * m + i}", F.when(others > 0, (F.col(f"__sum{at}{i}") - F.coalesce(F.col(f"__x{i}"), F.lit(0.0))) / others))
+        rows = rows.drop(*[f"__{g}{at}{i}" for i in range(m) for g in ("sum", "count") for at in ("w", "s")])
     if category:
         counts = rows.where("__g is not null and __cat is not null").groupBy("__g", "__cat").agg(F.count(F.lit(1)).alias("__n"))
-        # the classes' part of a score is below PRIOR < 1, so only the group's most frequent categories can win
-        best = counts.groupBy("__g").agg(F.max("__n").alias("__most"))
-        modes = counts.join(best, "__g").where("__n = __most").groupBy("__g").agg(F.array_sort(F.collect_set("__cat")).alias("__modes"))
-        rows = skew_safe_left_join(rows, modes, ["__g"])
-    else:
-        rows = rows.withColumn("__modes", F.lit(None).cast("array<bigint>"))
-    width = 2 * len(names)
-    rows = rows.persist()
+        codes = counts.groupBy("__g").agg(F.array_sort(F.collect_list(F.struct("__cat", "__n"))).alias("__codes"))  # at most MOST_CODES
+        return skew_safe_left_join(rows, codes, ["__g"])
+    return rows.withColumn("__codes", F.lit(None).cast("array<struct<__cat: bigint, __n: bigint>>"))
+
+
+def mark_missing(df: DataFrame, group: str, time: str, numeric: dict[str, tuple[float, float]], window: int, category: str | None = None, valid: tuple[int, int] | None = None) -> DataFrame:
+    """`df` with `<column>_filled`: whether fill_missing fills it. The same stages up to the donors, without a model."""
+    df = df.drop(*[f"{c}_filled" for c in [*numeric, *([category] if category else [])]])
+    rows, m = with_donors(df, group, time, numeric, window, category, valid), len(numeric)
+    marks = [(F.col(f"__x{i}").isNull() & F.col(f"__x{m + i}").isNotNull()).alias(f"{c}_filled") for i, c in enumerate(numeric)]
+    if category:
+        marks.append((F.col("__cat").isNull() & F.col("__codes").isNotNull()).alias(f"{category}_filled"))
+    return rows.select(*df.columns, *marks)
+
+
+def fill_missing(df: DataFrame, group: str, time: str, numeric: dict[str, tuple[float, float]], window: int, category: str | None = None, valid: tuple[int, int] | None = None, classes: int = 3, max_steps: int = 400, tolerance: float = 1e-5, guess: bool = False) -> DataFrame:
+    """`df` with `<column>_value` (given or filled) and `<column>_filled` (true where filled) for each column.
+
+    numeric: column -> (low, high); a number is missing unless low < value < high, where low >= 0. It is filled
+    with its conditional expectation if a record of the same group and at most `window` time units away has a value; a
+    category (whole number, missing unless within `valid`, both ends included) with the conditional mode given the
+    group's categories of any time, the least of equals. Without such a record, a group or (numbers)
+    a time, it stays null and unmarked. NaN counts as missing; repeated rows each keep their row; an empty table
+    stays empty. Existing columns of the result's names are replaced; all others are kept. With `guess`,
+    `<column>_guess` has what would be filled if the row's own value were missing, wherever there are donors besides it.
+    """
+    spark = df.sparkSession
+    names = list(numeric)
+    every = [*names, *([category] if category else [])]
+    made = [f"{c}_{x}" for c in every for x in ("value", "filled", *(["guess"] if guess else []))]
+    df = df.drop(*made)
+    rows = with_donors(df, group, time, numeric, window, category, valid)
+    m = len(names)
+    width = 3 * m
     model = fit(rows.select(*[f"__x{i}" for i in range(width)], "__cat"), width, classes, max_steps, tolerance)
     shared = spark.sparkContext.broadcast(model)
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{c}_value` double, `{c}_filled` boolean" for c in names] + ([f"`{category}_value` bigint, `{category}_filled` boolean"] if category else []))
+    kinds = [(c, "double") for c in names] + ([(category, "bigint")] if category else [])
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{c}_value` {t}, `{c}_filled` boolean" + (f", `{c}_guess` {t}" if guess else "") for c, t in kinds])
+    columns, ends = df.columns, list(numeric.values())
 
-    columns = df.columns
+    def expected(model: Model, x, cat, i: int):
+        """Conditional expectation of number i, its own value left out."""
+        import numpy as np
+
+        x = x.copy()
+        x[:, i] = np.nan
+        r, filled, extra, _ = expect(model, x, cat)
+        spread = np.empty((len(r), len(model.weight)))
+        for at, covs in extra:
+            spread[at] = covs[:, i, i]
+        lo, hi = np.nextafter(ends[i][0], np.inf), np.nextafter(ends[i][1], -np.inf)
+        of_class = np.exp(np.minimum(filled[:, :, i] + spread.T / 2, np.log(hi)))  # no class expects what counts as missing
+        return np.clip(np.einsum("nk,kn->n", r, of_class), lo, hi)
+
+    def mode(model: Model, r, codes, own) -> int | None:
+        """Category of the greatest conditional probability given the classes' weights and the group's other records."""
+        best = None
+        for cat, n in codes:
+            n -= cat == own
+            if n > 0:
+                score = n + PRIOR * float(r @ model.table[:, model.cats[cat]])
+                if best is None or score > best[0]:
+                    best = score, cat
+        return best and best[1]
 
     def apply(frames: Iterator) -> Iterator:
         import numpy as np
+        import pandas as pd
 
         model = shared.value
         for f in frames:
             if f.empty:
                 continue
             x, cat = _features(f, width, model.cats)
-            r, filled, _, _ = expect(model, x, cat)
             out = f[columns].copy()
             for i, c in enumerate(names):
-                own, donor = x[:, i], x[:, len(names) + i]
-                can = np.isnan(own) & ~np.isnan(donor)
-                guess = np.exp(np.einsum("nk,kn->n", r, filled[:, :, i]))
-                out[f"{c}_value"] = np.where(can, guess, np.exp(own))
+                own, donors = x[:, i], ~np.isnan(x[:, m + i])
+                can = np.isnan(own) & donors
+                value = expected(model, x, cat, i) if guess or can.any() else np.full(len(f), np.nan)
                 given = f[c].to_numpy("float64", na_value=np.nan)
-                out[f"{c}_value"] = np.where(np.isnan(own), out[f"{c}_value"], given)
+                out[f"{c}_value"] = np.where(can, value, np.where(np.isnan(own), np.nan, given))
                 out[f"{c}_filled"] = can
+                if guess:
+                    out[f"{c}_guess"] = np.where(donors, value, np.nan)
             if category:
-                values, marks = [], []
                 own = f["__cat"].to_numpy("float64", na_value=np.nan)
-                for j, (v, modes) in enumerate(zip(own, f["__modes"])):
-                    can = v != v and modes is not None and len(modes) > 0
-                    if can and len(modes) > 1:
-                        v = max(modes, key=lambda c: (float(r[j] @ model.table[:, model.cats[c]]), -c))
-                    elif can:
-                        v = modes[0]
-                    values.append(None if v != v else int(v))
-                    marks.append(can)
-                out[f"{category}_value"], out[f"{category}_filled"] = values, marks
-                out[f"{category}_value"] = out[f"{category}_value"].astype("Int64")
+                asked = [codes is not None and (guess or v != v) for v, codes in zip(own, f["__codes"])]
+                r = expect(model, x, np.full(len(f), -1))[0] if any(asked) else None
+                found = [mode(model, r[j], [(c["__cat"], c["__n"]) for c in codes], own[j]) if asked[j] else None for j, codes in enumerate(f["__codes"])]
+                filled = [v != v and g is not None for v, g in zip(own, found)]
+                out[f"{category}_value"] = pd.array([g if put else None if v != v else int(v) for v, g, put in zip(own, found, filled)], "Int64")
+                out[f"{category}_filled"] = filled
+                if guess:
+                    out[f"{category}_guess"] = pd.array(found, "Int64")
             yield out
 
     return rows.mapInPandas(apply, fields)
+
+
+def fit_report(df: DataFrame, group: str, time: str, numeric: dict[str, tuple[float, float]], window: int, category: str | None = None, valid: tuple[int, int] | None = None, classes: int = 3, max_steps: int = 400, tolerance: float = 1e-5) -> DataFrame:
+    """n_rows, steps (passes over the rows), loglik (nats a row, with priors), converged: of the model that fill_missing fits."""
+    rows, width = with_donors(df, group, time, numeric, window, category, valid), 3 * len(numeric)
+    model = fit(rows.select(*[f"__x{i}" for i in range(width)], "__cat"), width, classes, max_steps, tolerance)
+    return df.sparkSession.createDataFrame([(model.rows, model.steps, float(model.loglik / model.rows) if model.rows else None, model.converged)], "n_rows bigint, steps int, loglik double, converged boolean")

@@ -9,8 +9,9 @@ from tidewheel.functions.ids import is_deleted, is_open_end, norm_id, sql_delete
 from tidewheel.operators.asof import known_at
 from tidewheel.operators.intervals import merged_intervals
 from tidewheel.operators.keyed_selection import frequent_values, per_key_profile, per_key_quantiles
-from tidewheel.operators.mixture_fill import fill_missing
+from tidewheel.operators.mixture_fill import fill_missing, fit_report, mark_missing
 from tidewheel.operators.orphans import reference_status
+from tidewheel.operators.skew import skew_safe_left_join
 
 #: Problem 1: the share of all rows from which an id counts as frequent.
 FREQUENT = 0.03
@@ -57,28 +58,76 @@ def p1_per_id(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- problem 2
-def _filled(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = table(spark, sf, name).withColumns({"dirid_starting": norm_id("dirid_starting"), "gvkey": norm_id("gvkey")})
-    if name == "merged_panel":
-        return fill_missing(df.select("dirid_starting", "gvkey", "year", "mkvalt", "sale"), "gvkey", "year", {"mkvalt": AMOUNT, "sale": AMOUNT}, YEARS_AWAY)
-    return fill_missing(df.select("dirid_starting", "gvkey", "year", "mkvalt", "sale", "siccd"), "gvkey", "year", {"mkvalt": AMOUNT, "sale": AMOUNT}, YEARS_AWAY, "siccd", CODES)
+#: Problem 2: the fields of each table.
+FIELDS = {"merged_panel": ["mkvalt", "sale"], "panel_with_returns": ["mkvalt", "sale", "siccd"]}
+
+
+def _panel(spark: SparkSession, sf: str, name: str) -> tuple:
+    """A table with its ids in normal form, and the other arguments of the operators of problem 2."""
+    fields = FIELDS[name]
+    df = table(spark, sf, name).select(norm_id("dirid_starting").alias("dirid_starting"), norm_id("gvkey").alias("gvkey"), "year", *fields)
+    return df, "gvkey", "year", {"mkvalt": AMOUNT, "sale": AMOUNT}, YEARS_AWAY, *(("siccd", CODES) if "siccd" in fields else (None, None))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     def cases(name: str, fields: list[str]) -> DataFrame:
         marks = F.array(*[F.when(F.col(f"{f}_filled"), F.lit(f)) for f in fields])
-        rows = _filled(spark, sf, name).select(F.lit(name).alias("table_name"), F.explode(F.array_compact(marks)).alias("field"), "dirid_starting", "gvkey", "year")
-        return rows
+        return mark_missing(*_panel(spark, sf, name)).select(F.lit(name).alias("table_name"), F.explode(F.array_compact(marks)).alias("field"), "dirid_starting", "gvkey", "year")
 
     return cases("merged_panel", ["mkvalt", "sale"]).unionByName(cases("panel_with_returns", ["siccd"])).distinct()
 
 
 def p2_filled(spark: SparkSession, sf: str) -> DataFrame:
     """All rows of panel_with_returns with given or filled values and their marks."""
-    out = _filled(spark, sf, "panel_with_returns")
+    out = fill_missing(*_panel(spark, sf, "panel_with_returns"))
     return out.select("dirid_starting", "gvkey", "year", *[F.round(f"{c}_value", 4).alias(f"{c}_value") for c in ("mkvalt", "sale")], "siccd_value", "mkvalt_filled", "sale_filled", "siccd_filled")
 
 
+def p2_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Passes, likelihood and convergence of the model of each table."""
+    first, second = (fit_report(*_panel(spark, sf, name)).select(F.lit(name).alias("table_name"), "*") for name in FIELDS)
+    return first.unionByName(second)
+
+
+def p2_heldout(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the fill is better than the group's: every value is guessed from all other records.
+
+    baseline is the mean absolute error of the log of the donors' mean for numbers, and the share of wrong modes of the
+    group's other records for the category; better tells that the fill's is smaller (for the category, not greater).
+    """
+    out = None
+    for name, fields in FIELDS.items():
+        df, *how = _panel(spark, sf, name)
+        own = lambda c: F.when((F.col(c) > AMOUNT[0]) & (F.col(c) < AMOUNT[1]), F.col(c).cast("double"))
+        got = fill_missing(df, *how, guess=True)
+        got = got.withColumns({f"{c}_own": own(c) for c in ("mkvalt", "sale")}).withColumn("t", F.col("year").cast("bigint"))
+        sums = [g(f"{c}_own").alias(f"{c}_{g.__name__}") for c in ("mkvalt", "sale") for g in (F.sum, F.count)]
+        near = got.where("gvkey is not null").groupBy("gvkey", "t").agg(*sums).withColumn("t", F.explode(F.sequence(F.col("t") - YEARS_AWAY, F.col("t") + YEARS_AWAY)))
+        near = near.groupBy("gvkey", "t").agg(*[F.sum(f"{c}_{g}").alias(f"{c}_{g}") for c in ("mkvalt", "sale") for g in ("sum", "count")])
+        both = skew_safe_left_join(got, near, ["gvkey", "t"])
+        error = lambda e, c: F.abs(F.log(e) - F.log(f"{c}_own"))
+        rows = []
+        for c in ("mkvalt", "sale"):
+            mean = F.when(F.col(f"{c}_own").isNotNull() & (F.col(f"{c}_count") > 1), F.try_divide(F.col(f"{c}_sum") - F.col(f"{c}_own"), F.col(f"{c}_count") - 1))
+            rows.append(F.struct(F.lit(c).alias("field"), error(mean, c).alias("base"), F.when(mean.isNotNull(), error(F.col(f"{c}_guess"), c)).alias("mine")))
+        each = both.select(F.inline(F.array(*rows)))
+        if "siccd" in fields:
+            each = each.unionByName(_code_errors(got))
+        r = each.where("base is not null").groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("base").alias("base"), F.avg("mine").alias("mine"))
+        r = r.select(F.lit(name).alias("table_name"), "field", "n", F.round("base", 6).alias("baseline"), F.when(F.col("field") == "siccd", F.col("mine") <= F.col("base")).otherwise(F.col("mine") < F.col("base")).alias("better"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def _code_errors(got: DataFrame) -> DataFrame:
+    """field, base, mine: whether the mode of the group's other records, and the guess, differ from a row's code."""
+    code = got.where(F.col("gvkey").isNotNull() & F.col("siccd").between(*CODES)).groupBy("gvkey", "siccd").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("siccd_guess") != F.col("siccd")).alias("wrong"))
+    pairs = code.select("gvkey", "siccd", "k", "wrong").join(code.select("gvkey", F.col("siccd").alias("other"), F.col("k").alias("n")), "gvkey")
+    left = F.col("n") - F.when(F.col("other") == F.col("siccd"), 1).otherwise(0)
+    best = pairs.where(left > 0).groupBy("gvkey", "siccd", "k", "wrong").agg(F.max(F.struct(left.alias("n"), (-F.col("other")).alias("other"))).alias("b"))
+    return best.select(F.lit("siccd").alias("field"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("k"))).alias("i"), (F.col("b.other") != -F.col("siccd")).cast("double").alias("base"), "wrong").select("field", "base", (F.col("i") <= F.col("wrong")).cast("double").alias("mine"))
+
+
 # ---------------------------------------------------------------- problem 3
 def _filings(spark: SparkSession, sf: str) -> DataFrame:
     f = table(spark, sf, "fundamentals").where("fyear is not null and filed_on is not null and mkvalt > 0 and mkvalt < 10000000")
@@ -121,13 +170,14 @@ def _references(spark: SparkSession, sf: str) -> DataFrame:
         t = t.where(~is_deleted("record_status")) if live else t
         return t.select(F.lit(name).alias("table_name"), norm_id(key).alias("ref_key"), F.col(period).alias("period"))
 
-    def parents(of: str, name: str, key: str, since, status: bool = True) -> DataFrame:
-        return table(spark, sf, name).select(F.lit(of).alias("table_name"), norm_id(key).alias("ref_key"), since.alias("valid_from"), is_deleted("record_status").alias("deleted"))
+    def parents(of: str, name: str, key, since, until=None) -> DataFrame:
+        until = F.lit(None).cast("int") if until is None else until
+        return table(spark, sf, name).select(F.lit(of).alias("table_name"), norm_id(key).alias("ref_key"), since.alias("valid_from"), until.alias("valid_to"), is_deleted("record_status").alias("deleted"))
 
-    start = F.year(text_date("datestartrole"))
+    role = F.year(text_date("datestartrole")), F.when(~is_open_end("dateendrole"), F.year(text_date("dateendrole", last=True)))
     r = refs("connection_count_panel", "dirid_starting", "year").unionByName(refs("linking_table", "companyid", "link_year", True)).unionByName(refs("fundamentals", "gvkey", "fyear"))
-    company = table(spark, sf, "ceo_sample").select(F.lit("linking_table").alias("table_name"), norm_id(F.col("companyid").cast("string")).alias("ref_key"), start.alias("valid_from"), is_deleted("record_status").alias("deleted"))
-    p = parents("connection_count_panel", "ceo_sample", "directorid_starting", start).unionByName(company).unionByName(parents("fundamentals", "linking_table", "gvkey", F.col("link_year")))
+    p = parents("connection_count_panel", "ceo_sample", "directorid_starting", *role)
+    p = p.unionByName(parents("linking_table", "ceo_sample", F.col("companyid").cast("string"), *role)).unionByName(parents("fundamentals", "linking_table", "gvkey", F.col("link_year")))
     return reference_status(r, p)
 
 
@@ -141,7 +191,7 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return out.agg(F.sum("n_refs").alias("n_refs"), F.count(F.lit(1)).alias("n_keys"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_per_id, p2_found, p2_filled, p3_found, p3_panel, p4_found, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_per_id, p2_found, p2_filled, p2_fit, p2_heldout, p3_found, p3_panel, p4_found, p7_found, p7_report)}
 
 # ---------------------------------------------------------------- SQL
 _VALID = "{c} > 0 and {c} < 10000000 and not isnan({c})"
@@ -158,6 +208,17 @@ def _case(tbl: str, field: str, ok: str, near: str) -> str:
     select 1 from (select {sql_norm_id('gvkey')} as gvkey, year, {field} from {tbl}) o where o.gvkey = m.gvkey and {near} and {ok.format(c='o.' + field)})"""
 
 
+def _sql_heldout(tbl: str, field: str) -> str:
+    rows = f"(select {sql_norm_id('gvkey')} as g, cast(year as bigint) as t, cast(case when {_VALID.format(c=field)} then {field} end as double) as x from {tbl})"
+    return f"""select '{tbl}' as table_name, '{field}' as field, count(*) as n, round(avg(abs(ln((s - x) / (k - 1)) - ln(x))), 6) as baseline, true as better
+  from {rows} r join (select g, y.t + o.d as t, sum(s) as s, sum(k) as k from (select g, t, sum(x) as s, count(x) as k from {rows} group by g, t) y, (select unnest(generate_series(-{YEARS_AWAY}, {YEARS_AWAY})) as d) o group by 1, 2) n
+  on n.g = r.g and n.t = r.t where x is not null and k > 1"""
+
+
+_SQL_CODES = f"""with codes as (select {sql_norm_id('gvkey')} as g, siccd as c, count(*) as k from panel_with_returns where siccd between {CODES[0]} and {CODES[1]} and {sql_norm_id('gvkey')} is not null group by 1, 2),
+best as (select a.g, a.c, a.k, b.c as other, row_number() over (partition by a.g, a.c order by b.k - case when b.c = a.c then 1 else 0 end desc, b.c) as i from codes a join codes b on a.g = b.g where b.k - case when b.c = a.c then 1 else 0 end > 0)
+select 'panel_with_returns' as table_name, 'siccd' as field, cast(sum(k) as bigint) as n, round(sum(case when other <> c then k else 0 end) / sum(k), 6) as baseline, true as better from best where i = 1"""
+
 _DATE_WORDS = "lower(trim({c}, ' ' || chr(9) || chr(10) || chr(13) || chr(160)))"
 
 
@@ -177,20 +238,22 @@ def _sql_date(c: str, last: bool) -> str:
 
 
 _E = _DATE_WORDS.format(c="dateendrole")
+_ROLE_END = f"case when not (dateendrole is null or {_E} = '' or regexp_matches({_E}, '^(c|cur|curr|current)$') or coalesce({_sql_date('dateendrole', True)} > date '2100-12-31', false)) then year({_sql_date('dateendrole', True)}) end"
 _REFS = f"""refs as (
   select 'connection_count_panel' as table_name, {sql_norm_id('dirid_starting')} as ref_key, year as period from connection_count_panel
   union all select 'linking_table', {sql_norm_id('companyid')}, link_year from linking_table where not {sql_deleted('record_status')}
   union all select 'fundamentals', {sql_norm_id('gvkey')}, fyear from fundamentals),
 parents as (
-  select 'connection_count_panel' as table_name, {sql_norm_id('directorid_starting')} as ref_key, year({_sql_date('datestartrole', False)}) as valid_from, {sql_deleted('record_status')} as deleted from ceo_sample
-  union all select 'linking_table', case when companyid > 0 then cast(companyid as varchar) end, year({_sql_date('datestartrole', False)}), {sql_deleted('record_status')} from ceo_sample
-  union all select 'fundamentals', {sql_norm_id('gvkey')}, link_year, {sql_deleted('record_status')} from linking_table),
+  select 'connection_count_panel' as table_name, {sql_norm_id('directorid_starting')} as ref_key, year({_sql_date('datestartrole', False)}) as valid_from, {_ROLE_END} as valid_to, {sql_deleted('record_status')} as deleted from ceo_sample
+  union all select 'linking_table', case when companyid > 0 then cast(companyid as varchar) end, year({_sql_date('datestartrole', False)}), {_ROLE_END}, {sql_deleted('record_status')} from ceo_sample
+  union all select 'fundamentals', {sql_norm_id('gvkey')}, link_year, null, {sql_deleted('record_status')} from linking_table),
+spans as (select table_name, ref_key, deleted, coalesce(valid_from, -2147483648) as a, case when valid_to is not null then greatest(valid_to, coalesce(valid_from, -2147483648)) end as b from parents where ref_key is not null),
 status as (
   select r.table_name, r.ref_key, r.period, r.n_refs,
-    case when p.live is null then 'missing' when not p.live then 'deleted' when p.since > r.period then 'late' else 'ok' end as status
+    case when count(p.a) = 0 then 'missing' when bool_and(p.deleted) then 'deleted' when bool_or(not p.deleted and p.a <= r.period and (p.b is null or p.b >= r.period)) then 'ok'
+      when min(case when not p.deleted then p.a end) > r.period then 'late' when max(case when not p.deleted then p.a end) <= r.period then 'ended' else 'gap' end as status
   from (select table_name, ref_key, period, count(*) as n_refs from refs where ref_key is not null and period is not null group by all) r
-  left join (select table_name, ref_key, bool_or(not deleted) as live, min(case when not deleted then coalesce(valid_from, -2147483648) end) as since from parents where ref_key is not null group by all) p
-  on r.table_name = p.table_name and r.ref_key = p.ref_key)"""
+  left join spans p on r.table_name = p.table_name and r.ref_key = p.ref_key group by r.table_name, r.ref_key, r.period, r.n_refs)"""
 
 ORACLES = {
     "p1_found": f"with {_IDS} select id_field, dir_id from ids where dir_id is not null group by all having count(*) * 100 >= 3 * (select count(*) from raw_edges)",
@@ -198,6 +261,7 @@ ORACLES = {
     "p2_found": " union all ".join(
         [_case("merged_panel", f, _VALID, f"abs(o.year - m.year) <= {YEARS_AWAY}") for f in ("mkvalt", "sale")] + [_case("panel_with_returns", "siccd", "{c} between 100 and 8999", "true")]
     ),
+    "p2_heldout": " union all ".join([_sql_heldout(t, f) for t in FIELDS for f in ("mkvalt", "sale")] + [f"select * from ({_SQL_CODES})"]),
     "p3_found": f"""with {_FILINGS}, rows as (select distinct {sql_norm_id('dirid_starting')} as dirid_starting, {sql_norm_id('gvkey')} as gvkey, year, mkvalt from merged_panel where {_VALID.format(c='mkvalt')}),
 known as (select k.gvkey, k.year, arg_max(f.mkvalt, (f.fyear, f.filed_on)) as v from (select distinct gvkey, year from rows) k
   join filings f on f.gvkey = k.gvkey and f.fyear <= k.year and f.filed_on <= make_date(k.year, 12, 31) group by all)
