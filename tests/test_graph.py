@@ -59,6 +59,71 @@ def test_yearly_pairs_match_loop(spark):
         graph.asof_edges(e, 2002, "other", "s", "t", "a", "b")
 
 
+@pytest.mark.parametrize("mode", ["cumulative", "active"])
+def test_metrics_of_years_match_each_year(spark, mode):
+    rng = random.Random(12)
+    rows = [(*(rng.sample("abcdefghijkl", 2) if rng.random() < 0.97 else "zz"), rng.randint(1997, 2007), rng.choice([None, rng.randint(1999, 2008)])) for _ in range(90)]
+    e = spark.createDataFrame([(*r, 1) for r in rows], "s string, t string, a int, b int, mask int")
+    where = (mode, 2000, 2005, "s", "t", "a", "b")
+    want = {(r["year"], r["node_id"]): r for r in graph.local_metrics(graph.yearly_pairs(e, *where), ["year"]).collect()}
+    got = {(r["year"], r["node_id"]): r for r in graph.local_metrics_of_years(graph.yearly_masks(e, *where), 2000, 2005).collect()}
+    assert set(got) == set(want) and len({y for y, _ in want}) == 6
+    for k, r in want.items():
+        for c in ("degree", "degree_centrality", "clustering", "effective_size", "network_constraint", "brokerage"):
+            assert got[k][c] == (r[c] if r[c] is None else pytest.approx(r[c])), (k, c)
+    assert graph.local_metrics_of_years(graph.yearly_masks(e.limit(0), *where), 2000, 2005).count() == 0
+    with pytest.raises(ValueError):
+        graph.yearly_masks(e, mode, 1900, 2005, "s", "t", "a", "b")
+
+
+def test_network_panel(spark):
+    e = spark.createDataFrame([("1", "2", 2000, 2000), ("2", "3", 2001, None), ("1", "3", 2001, None)], "s string, t string, a int, b int")
+    got = {(r["year"], r["node_id"]): r for r in graph.network_panel(e, "active", 2000, 2001, "s", "t", "a", "b").collect()}
+    assert set(got) == {(2000, "1"), (2000, "2"), (2001, "1"), (2001, "2"), (2001, "3")}
+    assert got[(2000, "1")]["pagerank"] == pytest.approx(0.5) and got[(2001, "3")]["eigenvector_centrality"] == pytest.approx(1) and got[(2001, "1")]["eigenvector_centrality"] == pytest.approx(2**-0.5)
+
+
+def test_weights(spark):
+    import numpy as np
+
+    rng = random.Random(2)
+    rows = [(a, b, float(rng.randint(1, 5)), k) for k in range(2) for a, b in itertools.combinations("ABCDEFG", 2) if rng.random() < 0.55] + [("A", "B", 2.0, 9), ("B", "A", 3.0, 8)]
+    e = spark.createDataFrame(rows, "s string, t string, w double, k int")
+    pairs = graph.simple_graph(e, "s", "t", "w", "k")
+    w = {(r["a"], r["b"]): r["weight"] for r in pairs.collect()}
+    assert w[("A", "B")] == 2.0 and all(w[tuple(sorted(r[:2]))] == max(((q[3], q[2]) for q in rows if sorted(q[:2]) == sorted(r[:2])))[1] for r in rows)
+    names = sorted({x for p in w for x in p})
+    m = np.zeros((len(names), len(names)))
+    for (a, b), v in w.items():
+        m[names.index(a), names.index(b)] = m[names.index(b), names.index(a)] = v
+    n = len(names)
+    rank = np.linalg.solve(np.eye(n) - 0.85 * (m / m.sum(axis=1, keepdims=True)).T, np.full(n, 0.15 / n))
+    assert of(graph.pagerank(pairs, [], weight="weight"), "pagerank") == pytest.approx(dict(zip(names, rank)))
+    values, vectors = np.linalg.eigh(m)
+    top = np.abs(vectors[:, -1])
+    assert of(graph.eigenvector(pairs, [], "l2", weight="weight"), "eigenvector_centrality") == pytest.approx(dict(zip(names, top)), abs=1e-6)
+    # every simple path between two nodes, by brute force
+    through = collections.Counter()
+    for a, b in itertools.combinations(names, 2):
+        paths = []
+        for k in range(n - 1):
+            for mid in itertools.permutations([x for x in names if x not in (a, b)], k):
+                steps = list(zip((a, *mid), (*mid, b)))
+                if all(tuple(sorted(s)) in w for s in steps):
+                    paths.append((sum(w[tuple(sorted(s))] for s in steps), mid))
+        if not paths:
+            continue
+        least = min(paths)[0]
+        short = [mid for d, mid in paths if d == least]
+        for mid in short:
+            for x in mid:
+                through[x] += 1 / len(short)
+    got = of(graph.betweenness(pairs, weight="weight"), "betweenness")
+    assert got == pytest.approx({x: through[x] * 2 / ((n - 1) * (n - 2)) for x in names})
+    m = graph.all_metrics(e, "s", "t", weight="w", order="k")
+    assert m.count() == n and of(m, "pagerank") == pytest.approx(dict(zip(names, rank)))
+
+
 def test_connection_panel_and_core(spark):
     raw = spark.createDataFrame([("1.0", "2", 1999, None), ("1", "3", 2001, None), ("1", "3", 2002, None), ("x", "3", 2001, None), ("4", "5", None, None), ("4", "6", 2002, 2003)], "s string, t string, a int, b int")
     core = graph.edges_core(raw, "s", "t", "a", "b")

@@ -54,6 +54,27 @@ def yearly_pairs(edges: DataFrame, mode: str, first: int, last: int, source: str
     return p.select(F.explode(F.sequence("lo", "hi")).alias("year"), "a", "b").distinct()
 
 
+#: Years of one bit mask.
+MASK_YEARS = 60
+
+
+def yearly_masks(edges: DataFrame, mode: str, first: int, last: int, source: str, target: str, start: str, end: str) -> DataFrame:
+    """a, b, mask: distinct undirected pairs with a bit for every year first..last in which they are there (bit 0 is `first`).
+
+    The same pairs as yearly_pairs, but a pair is one row for all years; self-loops included. At most MASK_YEARS years.
+    """
+    if mode not in ("cumulative", "active"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if not 0 <= last - first < MASK_YEARS:
+        raise ValueError(f"{first}..{last}: a mask holds 1 to {MASK_YEARS} years")
+    begun = F.greatest(F.col("begun"), F.lit(first)).cast("int")
+    ended = F.lit(last) if mode == "cumulative" else F.least(F.coalesce("ended", F.lit(last)), F.lit(last)).cast("int")
+    p = _undirected(edges, source, target, begun=start, ended=end).select("a", "b", begun.alias("lo"), ended.alias("hi")).where("lo <= hi")
+    below = lambda n: F.call_function("shiftleft", F.expr("1L"), n) - 1
+    years = below(F.col("hi") - first + 1).bitwiseXOR(below(F.col("lo") - first))
+    return p.groupBy("a", "b").agg(F.bit_or(years).alias("mask"))
+
+
 def adjacency(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Symmetric (by, i, j) without loops from distinct pairs."""
     p = pairs.where("a <> b")
@@ -120,22 +141,74 @@ def local_metrics(pairs: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def pagerank(pairs: DataFrame, by: list[str], damping: float = 0.85, iterations: int | None = None, tolerance: float = 1e-10, every: int = 4) -> DataFrame:
+def local_metrics_of_years(masks: DataFrame, first: int, last: int) -> DataFrame:
+    """year, node_id and the columns of local_metrics for every year first..last, from the pairs of yearly_masks.
+
+    Every triangle is found once for all years: it is there in the years that its three pairs share. Degrees, triangles
+    and constraints are summed with one column per year, so no table is repeated by year but the result.
+    """
+    span = range(last - first + 1)
+    there = lambda m, k: F.getbit(m, F.lit(k)).cast("int")
+    array = lambda name: F.array(*[F.col(f"{name}{k}") for k in span]).alias(name)
+    per_year = lambda df, keys, name, value: df.groupBy(*keys).agg(*[F.sum(value(k)).alias(f"{name}{k}") for k in span]).select(*keys, array(name))
+    masks = masks.persist()
+    links = masks.where("a <> b")
+    both = links.select("mask", F.inline(F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j")), F.struct(F.col("b").alias("i"), F.col("a").alias("j")))))
+    d = per_year(both, ["i"], "d", lambda k: there(F.col("mask"), k)).persist()
+    # a node is there in the years of any of its pairs, self-loops included
+    node = masks.select("mask", F.explode(F.array("a", "b")).alias("i")).groupBy("i").agg(F.bit_or("mask").alias("node_mask"))
+    size = d.sparkSession.createDataFrame([tuple(node.agg(*[F.coalesce(F.sum(there(F.col("node_mask"), k)), F.lit(0)) for k in span]).first())], ", ".join(f"n{k} bigint" for k in span)).select(array("n"))
+    # orientation by the number of neighbours of all years bounds the wedges at hubs
+    t3 = triangles(links.select("a", "b"), [])
+    of = lambda x, y, name: links.select(F.col("a").alias(x), F.col("b").alias(y), F.col("mask").alias(name))
+    ends = t3.select(F.array_sort(F.array("i", "j", "k")).alias("t")).select(F.col("t")[0].alias("i"), F.col("t")[1].alias("j"), F.col("t")[2].alias("k"))
+    tri = ends.join(of("i", "j", "m1"), ["i", "j"]).join(of("j", "k", "m2"), ["j", "k"]).join(of("i", "k", "m3"), ["i", "k"])
+    tri = tri.select("i", "j", "k", F.col("m1").bitwiseAND(F.col("m2")).bitwiseAND(F.col("m3")).alias("mask")).where("mask <> 0").persist()
+    t = per_year(tri.select("mask", F.explode(F.array("i", "j", "k")).alias("i")), ["i"], "t", lambda k: there(F.col("mask"), k))
+    # sum over common neighbours q of 1 / d_q of the year; each triangle gives six ordered (i, j, q)
+    six = tri.select("mask", F.inline(F.array(*[F.struct(F.col(x).alias("i"), F.col(y).alias("j"), F.col(z).alias("q")) for x, y, z in (("i", "j", "k"), ("i", "k", "j"), ("j", "i", "k"), ("j", "k", "i"), ("k", "i", "j"), ("k", "j", "i"))])))
+    via = per_year(six.join(d.select(F.col("i").alias("q"), "d"), "q"), ["i", "j"], "v", lambda k: F.when(there(F.col("mask"), k) == 1, F.try_divide(F.lit(1.0), F.col("d")[k])))
+    share = lambda k: F.when(there(F.col("mask"), k) == 1, (1 + F.coalesce(F.col("v")[k], F.lit(0.0))) / F.col("d")[k])
+    con = per_year(both.join(via, ["i", "j"], "left").join(d, "i"), ["i"], "c", lambda k: share(k) * share(k))
+    out = node.join(d, "i", "left").join(t, "i", "left").join(con, "i", "left").join(F.broadcast(size), F.lit(True))
+    years = F.explode(F.filter(F.sequence(F.lit(0), F.lit(last - first)), lambda k: F.getbit("node_mask", k) == 1)).alias("k")
+    at = lambda name: F.col(name)[F.col("k")]
+    rows = out.select("i", "node_mask", "d", "t", "c", "n", years).select(F.col("i").alias("node_id"), (F.col("k") + first).alias("year"), F.coalesce(at("d"), F.lit(0)).alias("d"), F.coalesce(at("t"), F.lit(0)).alias("t"), at("c").alias("c"), at("n").alias("n"))
+    k, t = F.col("d"), F.col("t")
+    return rows.select(
+        "year", "node_id", k.alias("degree"), F.when(F.col("n") > 1, k / (F.col("n") - 1)).otherwise(0.0).alias("degree_centrality"),
+        F.when(k >= 2, 2 * t / (k * (k - 1))).otherwise(0.0).alias("clustering"),
+        F.when(k >= 2, k - 2 * t / k).otherwise(k.cast("double")).alias("effective_size"),
+        F.when(k > 0, F.col("c")).alias("network_constraint"), F.try_divide(F.lit(1.0), F.when(k > 0, F.col("c"))).alias("brokerage"),
+    )
+
+
+def _weighted(pairs: DataFrame, by: list[str], weight: str | None) -> DataFrame:
+    """Symmetric (by, i, j, w) without loops; w is 1 without a weight column."""
+    w = F.col(weight).cast("double").alias("w") if weight else F.lit(1.0).alias("w")
+    p = pairs.where("a <> b").select(*by, "a", "b", w)
+    return p.select(*by, F.inline(F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j"), "w"), F.struct(F.col("b").alias("i"), F.col("a").alias("j"), "w"))))
+
+
+def pagerank(pairs: DataFrame, by: list[str], damping: float = 0.85, iterations: int | None = None, tolerance: float = 1e-10, every: int = 4, weight: str | None = None) -> DataFrame:
     """by, node_id, pagerank of each snapshot: uniform teleport, dangling mass spread evenly, sums to 1.
 
+    With a positive `weight` of the pairs, a node gives to its neighbours in proportion to it.
+
     Solves x = 1 + damping x P'x by Chebyshev's iteration (P of an undirected graph has real eigenvalues in -1..1) and
     scales x to sum 1, which spreads the dangling mass. The residual bounds the summed error: rounds go on until that
     is below the tolerance in every snapshot; more than 1,000 are an error. With a number of iterations it stops there,
     and warns if that isn't met. Each round's table (a narrow row per node) is written to the shared checkpoint folder.
     """
-    adj = adjacency(pairs, by).distinct()
-    deg = adj.groupBy(*by, "i").agg(F.count(F.lit(1)).alias("d"))
-    out = adj.join(deg, [*by, "i"]).persist()
+    adj = _weighted(pairs, by, weight)
+    deg = adj.groupBy(*by, "i").agg(F.sum("w").alias("d"))
+    # kept partitioned by the key of every round's join
+    out = adj.join(deg, [*by, "i"]).select(*by, "i", "j", (F.col("w") / F.col("d")).alias("p")).repartition(*by, "i").persist()
     x = checkpoint(nodes(pairs, by).join(deg, [*by, "i"], "left").select(*by, "i", F.when(F.col("d").isNull(), 1.0).otherwise(1 / (1 - damping)).alias("x")).withColumns({"was": F.col("x"), "plain": F.col("x")}))
     omega, step, met, error = 1.0, 0, False, None
     while not met and step != iterations:
         step += 1
-        gain = out.join(x.select(*by, "i", "x"), [*by, "i"]).groupBy(*by, F.col("j").alias("i")).agg(F.sum(F.col("x") / F.col("d")).alias("g"))
+        gain = out.join(x.select(*by, "i", "x"), [*by, "i"]).groupBy(*by, F.col("j").alias("i")).agg(F.sum(F.col("x") * F.col("p")).alias("g"))
         new = x.drop("plain").join(gain, [*by, "i"], "left").withColumn("plain", 1 + damping * F.coalesce("g", F.lit(0.0)))
         omega = 1.0 if step == 1 else 1 / (1 - damping**2 / 2) if step == 2 else 1 / (1 - damping**2 * omega / 4)
         new = checkpoint(new.select(*by, "i", (F.lit(omega) * (F.col("plain") - F.col("was")) + F.col("was")).alias("x"), F.col("x").alias("was"), "plain"))
@@ -166,9 +239,11 @@ def _ritz(gram, image, keep: int):
     return values[::-1][:keep], np.pad(got, ((0, 0), (0, keep - got.shape[1])))
 
 
-def eigenvector(pairs: DataFrame, by: list[str], norm: str = "max", iterations: int | None = None, tolerance: float = 1e-9) -> DataFrame:
+def eigenvector(pairs: DataFrame, by: list[str], norm: str = "max", iterations: int | None = None, tolerance: float = 1e-9, weight: str | None = None) -> DataFrame:
     """by, node_id, eigenvector_centrality, the greatest eigenvalue's vector of A; scaled to maximum 1 ('max') or length 1 ('l2').
 
+    A holds the positive `weight` of the pairs, or ones.
+
     Rayleigh-Ritz over four vectors: the two best so far, the last direction and the residual. All come from powers of A
     on ones, so components with the same eigenvalue keep the shares they have in power iteration. Rounds go on until
     |Av - lv| < tolerance x l with the maximum of v 1, in every snapshot; more than 1,000 are an error. With a number of
@@ -177,12 +252,12 @@ def eigenvector(pairs: DataFrame, by: list[str], norm: str = "max", iterations:
     import numpy as np
 
     keep, m = 2, 4
-    adj = adjacency(pairs, by).distinct().persist()
+    adj = _weighted(pairs, by, weight).repartition(*by, "j").persist()
     vectors, images = [f"s{k}" for k in range(m)], [f"t{k}" for k in range(m)]
     zero = F.lit(0.0)
 
     def with_image(df: DataFrame) -> DataFrame:
-        gain = adj.join(df.select(*by, F.col("i").alias("j"), F.col(vectors[-1]).alias("v")), [*by, "j"]).groupBy(*by, "i").agg(F.sum("v").alias("g"))
+        gain = adj.join(df.select(*by, F.col("i").alias("j"), F.col(vectors[-1]).alias("v")), [*by, "j"]).groupBy(*by, "i").agg(F.sum(F.col("v") * F.col("w")).alias("g"))
         return df.join(gain, [*by, "i"], "left").withColumn(images[-1], F.coalesce("g", zero)).drop("g")
 
     # ones go in where later rounds have the residual
@@ -271,7 +346,39 @@ def _search(start, adj, sources, back: bool):
     return reached, far, total
 
 
-def _from_all(pairs: DataFrame, back: bool) -> tuple[DataFrame, int]:
+def _search_weighted(start, adj, length, source: int):
+    """Summed dependencies of every node on the shortest weighted paths from one source."""
+    import heapq
+
+    import numpy as np
+
+    n = len(start) - 1
+    dist, sigma, before, order = np.full(n, np.inf), np.zeros(n), [[] for _ in range(n)], []
+    dist[source], sigma[source] = 0.0, 1.0
+    done, heap = np.zeros(n, bool), [(0.0, source)]
+    while heap:
+        far, v = heapq.heappop(heap)
+        if done[v]:
+            continue
+        done[v] = True
+        order.append(v)
+        for e in range(start[v], start[v + 1]):
+            w, new = adj[e], far + length[e]
+            if new < dist[w]:
+                dist[w], sigma[w], before[w] = new, sigma[v], [v]
+                heapq.heappush(heap, (new, w))
+            elif new == dist[w] and not done[w]:
+                sigma[w] += sigma[v]
+                before[w].append(v)
+    delta = np.zeros(n)
+    for w in reversed(order):
+        for v in before[w]:
+            delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+    delta[source] = 0.0
+    return delta
+
+
+def _from_all(pairs: DataFrame, back: bool, weight: str | None = None) -> tuple[DataFrame, int]:
     """Rows (node_id, reached, far), or (node_id, delta) if `back`, of searches from every node, and the node count.
 
     The sources are spread over the tasks, which take them in blocks; every task reads all edges, as pairs of numbers,
@@ -282,7 +389,8 @@ def _from_all(pairs: DataFrame, back: bool) -> tuple[DataFrame, int]:
     named = checkpoint(nodes(pairs, []).select("i", F.monotonically_increasing_id().alias("id")))
     n = named.count()
     side = lambda c, name: named.select(F.col("i").alias(c), F.col("id").alias(name))
-    edges = pairs.where("a <> b").distinct().join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
+    links = pairs.where("a <> b").select("a", "b", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).distinct()
+    edges = links.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y", "w")
     folder = f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}"
     edges.write.parquet(folder)
     pairs.unpersist()
@@ -295,12 +403,14 @@ def _from_all(pairs: DataFrame, back: bool) -> tuple[DataFrame, int]:
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        table = ds.dataset(folder, schema=pa.schema([("x", pa.int64()), ("y", pa.int64())]), format="parquet").to_table()
+        table = ds.dataset(folder, schema=pa.schema([("x", pa.int64()), ("y", pa.int64()), ("w", pa.float64())]), format="parquet").to_table(columns=["x", "y", "w"] if weight else ["x", "y"])
         x, y = (table.column(c).to_numpy() for c in "xy")
         ids, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
         x, y = ends[: len(x)], ends[len(x) :]
         source, adj = np.concatenate([x, y]), np.concatenate([y, x])
-        adj, start = adj[np.argsort(source, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(source, minlength=len(ids)))])
+        by_source = np.argsort(source, kind="stable")
+        adj, start = adj[by_source], np.concatenate([[0], np.cumsum(np.bincount(source, minlength=len(ids)))])
+        length = np.tile(table.column("w").to_numpy(), 2)[by_source] if weight else None
         block, total = max(1, _ENTRIES // max(1, len(ids) + len(adj))), np.zeros(len(ids))
         for batch in itertools.chain([first], batches):
             own = batch.column(0).to_numpy()
@@ -309,7 +419,9 @@ def _from_all(pairs: DataFrame, back: bool) -> tuple[DataFrame, int]:
             linked[place < len(ids)] = ids[place[place < len(ids)]] == own[place < len(ids)]
             reached, far = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
             todo = np.flatnonzero(linked)
-            for part in (todo[k : k + block] for k in range(0, len(todo), block)):
+            for source in place[todo] if weight else ():
+                total += _search_weighted(start, adj, length, source)
+            for part in (todo[k : k + block] for k in range(0, 0 if weight else len(todo), block)):
                 reached[part], far[part], delta = _search(start, adj, place[part], back)
                 total += delta
             if not back:
@@ -343,27 +455,41 @@ def closeness(pairs: DataFrame, limit: int | None = None) -> DataFrame:
     return got.select("node_id", F.coalesce(F.try_divide(F.col("reached") * F.col("reached"), F.col("far") * F.lit(float(max(n - 1, 1)))), F.lit(0.0)).alias("closeness"))
 
 
-def betweenness(pairs: DataFrame, limit: int | None = None) -> DataFrame:
+def betweenness(pairs: DataFrame, limit: int | None = None, weight: str | None = None) -> DataFrame:
     """node_id, betweenness, normalised by 2 / ((n - 1)(n - 2)): dependencies are carried back level by level.
 
+    With a positive `weight` of the pairs, paths are as long as the sum of their weights (one search at a time).
     Searches from every node: time grows as nodes x edges. With a limit, greater graphs are refused.
     """
     _refuse(pairs, limit)
-    got, n = _from_all(pairs, back=True)
+    got, n = _from_all(pairs, back=True, weight=weight)
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0  # each undirected pair occurs from both ends
     return got.select("node_id", (F.coalesce("delta", F.lit(0.0)) * scale).alias("betweenness"))
 
 
-def simple_graph(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """Distinct undirected pairs (a, b) of any edge list; rows without an end are dropped."""
-    return _undirected(edges.dropna(subset=[source, target]), source, target).distinct()
+def simple_graph(edges: DataFrame, source: str, target: str, weight: str | None = None, order: str | None = None) -> DataFrame:
+    """Distinct undirected pairs (a, b) of any edge list; rows without an end are dropped.
+
+    With `weight`, also `weight`: of the last of a pair's rows by `order`, without one the greatest; null counts as 1.
+    """
+    rows = edges.dropna(subset=[source, target])
+    if weight is None:
+        return _undirected(rows, source, target).distinct()
+    rest = {"w": weight} | ({"o": order} if order else {})
+    w = F.coalesce(F.col("w").cast("double"), F.lit(1.0))
+    return _undirected(rows, source, target, **rest).groupBy("a", "b").agg((F.max(F.struct("o", w.alias("w")))["w"] if order else F.max(w)).alias("weight"))
+
 
+def all_metrics(edges: DataFrame, source: str, target: str, limit: int | None = None, weight: str | None = None, order: str | None = None) -> DataFrame:
+    """Every metric of one graph: local ones, PageRank, eigenvector ('l2'), closeness and betweenness.
 
-def all_metrics(edges: DataFrame, source: str, target: str, limit: int | None = None) -> DataFrame:
-    """Every metric of one graph: local ones, PageRank, eigenvector ('l2'), closeness and betweenness."""
-    pairs = simple_graph(edges, source, target).persist()
-    out = local_metrics(pairs, [])
-    for part in (pagerank(pairs, []), eigenvector(pairs, [], "l2"), closeness(pairs, limit), betweenness(pairs, limit)):
+    PageRank, the eigenvector and betweenness (as lengths) use the `weight` of the edges where one is named; the others count edges.
+    """
+    pairs = simple_graph(edges, source, target, weight, order).persist()
+    w = "weight" if weight else None
+    plain = pairs.select("a", "b")
+    out = local_metrics(plain, [])
+    for part in (pagerank(pairs, [], weight=w), eigenvector(pairs, [], "l2", weight=w), closeness(plain, limit), betweenness(pairs, limit, w)):
         out = out.join(part, "node_id")
     return out
 
@@ -371,8 +497,11 @@ def all_metrics(edges: DataFrame, source: str, target: str, limit: int | None =
 def network_panel(edges: DataFrame, mode: str, first: int, last: int, source: str, target: str, start: str, end: str) -> DataFrame:
     """All metrics that scale for every year first..last: local ones, PageRank and eigenvector centrality."""
     pairs = yearly_pairs(edges, mode, first, last, source, target, start, end).persist()
-    keys = ["year", "node_id"]
-    return local_metrics(pairs, ["year"]).join(pagerank(pairs, ["year"]), keys).join(eigenvector(pairs, ["year"]), keys)
+    local = local_metrics_of_years(yearly_masks(edges, mode, first, last, source, target, start, end), first, last)
+    out = local
+    for part in (pagerank(pairs, ["year"]), eigenvector(pairs, ["year"])):
+        out = out.join(part, ["year", "node_id"])
+    return out
 
 
 def connection_panel(edges: DataFrame, source: str, target: str, start: str, first: int, last: int, include_prior: bool = False) -> DataFrame:
