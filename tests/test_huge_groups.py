@@ -33,6 +33,29 @@ def test_same_as_windows(rows, name):
         assert got[k] == (v if v is None else pytest.approx(v, rel=1e-9, abs=1e-9)), (k, v, got[k])
 
 
+def test_large_dates_take_the_other_way(rows, monkeypatch):
+    """Above WINDOW_ROWS there is no window over the date, and the pipeline gives the same."""
+    from pyspark.sql import functions as F
+
+    from tidewheel.operators import research
+
+    data = rows.withColumn("e", F.col("id") % 50).withColumn("y", F.col("x") * F.col("x"))
+    run = lambda: features.feature_pipeline(data, ["x"], "d", "e", "g", "cap", ("x",), ("id",))
+    want = {r["id"]: r for r in run().collect()}
+    ric = {r["d"]: r["ic"] for r in research.rank_ic(data, "x", "y", "d").collect()}
+    monkeypatch.setattr(features, "WINDOW_ROWS", 100)
+    windows = [line for line in run()._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line and "windowspec" in line]
+    assert not [line for line in windows if "[d#" in line.split("windowspec")[-1].split("], [")[-2]], windows
+    got = {r["id"]: r for r in run().collect()}
+    for k, r in want.items():
+        for c in ("x_w", "x_z", "x_ind_neutral", "x_cap_neutral", "x_lagged", "x_rank"):
+            assert got[k][c] == (r[c] if r[c] is None else pytest.approx(r[c], abs=1e-9)), (k, c)
+    assert {r["d"]: r["ic"] for r in research.rank_ic(data, "x", "y", "d").collect()} == pytest.approx(ric)
+    glob = {r["id"]: r["o"] for r in features.winsorize(rows, "x", "o", None, 0.1, 0.8).collect()}
+    monkeypatch.undo()
+    assert glob == pytest.approx({r["id"]: r["o"] for r in features.winsorize(rows, "x", "o", None, 0.1, 0.8).collect()})
+
+
 def test_empty(rows):
     for f in CASES.values():
         assert f(huge_groups, rows.limit(0), {}).count() == 0

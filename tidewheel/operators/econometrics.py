@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,9 +92,10 @@ def simple_regression(df: DataFrame, y: str, x: str, date: str, by: list[str] |
     return s.select(*keys, a.alias("coef_const"), F.col("b").alias("coef_x"), F.try_divide(a, se_a).alias("tstat_const"), F.try_divide(F.col("b"), se_b).alias("tstat_x"), (1 - F.try_divide(rss, F.col("syy"))).alias("r_squared"), "n_obs")
 
 
-def _p_normal(t: str) -> Column:
-    """Two-sided normal p-value; applied to one row per series."""
-    return F.udf(normal_two_sided, T.DoubleType())(t)
+@F.pandas_udf(T.DoubleType())
+def _p_normal(t: pd.Series) -> pd.Series:
+    """Two-sided normal p-values; one row per series."""
+    return pd.Series([normal_two_sided(None if v != v else v) for v in t.astype("float64")], dtype="float64")
 
 
 def newey_west(series: DataFrame, date: str, value: str, lags: int = 3, by: list[str] | None = None) -> DataFrame:
@@ -117,12 +119,12 @@ def fama_macbeth(df: DataFrame, y: str, xs: list[str], date: str, lags: int = 3,
     return newey_west(long, date, "__b", lags, [*(by or []), "variable"])
 
 
-def robustness_test(df: DataFrame, y: str, xs: list[str], date: str, control_specs: list[list[str]]) -> DataFrame:
-    """spec, controls ('none' or comma-joined) and the Fama-MacBeth rows of xs, for each set of controls; three lags."""
+def robustness_test(df: DataFrame, y: str, xs: list[str], date: str, control_specs: list[list[str]], by: list[str] | None = None) -> DataFrame:
+    """(by,) spec, controls ('none' or comma-joined) and the Fama-MacBeth rows of xs, for each set of controls; three lags."""
     out = None
     for i, controls in enumerate(control_specs):
-        r = fama_macbeth(df, y, [*xs, *controls], date).where(F.col("variable").isin(xs))
-        r = r.select(F.lit(i).alias("spec"), F.lit(",".join(controls) or "none").alias("controls"), "variable", "mean", "se", "tstat", "pvalue", "n")
+        r = fama_macbeth(df, y, [*xs, *controls], date, by=by).where(F.col("variable").isin(xs))
+        r = r.select(*(by or []), F.lit(i).alias("spec"), F.lit(",".join(controls) or "none").alias("controls"), "variable", "mean", "se", "tstat", "pvalue", "n")
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -141,33 +143,36 @@ def sensitivity_analysis(df: DataFrame, y: str, xs: list[str], date: str, grid:
     return out
 
 
-def out_of_sample(df: DataFrame, y: str, xs: list[str], date: str, train_share: float = 0.7) -> DataFrame:
-    """One row: n_train, n_test, in_sample_r2, oos_r2. Dates are split in order before incomplete rows are dropped.
+def out_of_sample(df: DataFrame, y: str, xs: list[str], date: str, train_share: float = 0.7, by: list[str] | None = None) -> DataFrame:
+    """(by,) n_train, n_test, in_sample_r2, oos_r2. Dates are split in order before incomplete rows are dropped.
 
-    The pooled fit uses the rows of the first int(dates x train_share) dates; oos_r2 is 1 - SSres / SStot around
-    the test mean, computed from the test rows' Gram sums.
+    The pooled fit uses the rows of the first int(dates x train_share) dates of the table; oos_r2 is 1 - SSres / SStot around
+    the test mean, computed from the test rows' Gram sums. One row (per group of `by`, which must be few), none where a side
+    has no complete rows.
     """
     import numpy as np
 
+    keys = by or []
     dates = [r[0] for r in df.select(date).where(F.col(date).isNotNull()).distinct().orderBy(date).collect()]  # one value per date
     cut = int(len(dates) * train_share)
-    schema = "n_train bigint, n_test bigint, in_sample_r2 double, oos_r2 double"
+    schema = T.StructType([*[df.schema[k] for k in keys], *[T.StructField(c, t()) for c, t in (("n_train", T.LongType), ("n_test", T.LongType), ("in_sample_r2", T.DoubleType), ("oos_r2", T.DoubleType))]])
     if cut == 0 or cut >= len(dates):
         return df.sparkSession.createDataFrame([], schema)
-    sides = _grams(df.withColumn("__test", F.col(date) >= F.lit(dates[cut])), y, xs, ["__test"]).collect()
     size, got = len(xs) + 1, {}
-    for r in sides:
-        got[r["__test"]] = (r["n"], np.array([r[f"m{i}"] for i in range(size)]), np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(size)] for i in range(size)]))
-    if len([k for k in got if k is not None]) < 2:
-        return df.sparkSession.createDataFrame([], schema)
-    beta, _, r2 = solve_gram(*got[False])
-    n, m, c = got[True]
-    b = np.nan_to_num(beta)
-    bias = m[0] - b[0] - b[1:] @ m[1:]
-    rss = n * (c[0, 0] - 2 * b[1:] @ c[1:, 0] + b[1:] @ c[1:, 1:] @ b[1:] + bias**2)
-    tss = n * c[0, 0]
-    oos = float(1 - rss / tss) if tss > 0 else None
-    return df.sparkSession.createDataFrame([(int(got[False][0]), int(n), float(r2) if r2 == r2 else None, oos)], schema)
+    for r in _grams(df.withColumn("__test", F.col(date) >= F.lit(dates[cut])).where("__test is not null"), y, xs, [*keys, "__test"]).collect():
+        got.setdefault(tuple(r[k] for k in keys), {})[r["__test"]] = (r["n"], np.array([r[f"m{i}"] for i in range(size)]), np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(size)] for i in range(size)]))
+    rows = []
+    for key, sides in got.items():
+        if len(sides) < 2:
+            continue
+        beta, _, r2 = solve_gram(*sides[False])
+        n, m, c = sides[True]
+        b = np.nan_to_num(beta)
+        bias = m[0] - b[0] - b[1:] @ m[1:]
+        rss = n * (c[0, 0] - 2 * b[1:] @ c[1:, 0] + b[1:] @ c[1:, 1:] @ b[1:] + bias**2)
+        tss = n * c[0, 0]
+        rows.append((*key, int(sides[False][0]), int(n), float(r2) if r2 == r2 else None, float(1 - rss / tss) if tss > 0 else None))
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def significance_test(mean: float, se: float, n: int, alpha: float = 0.05) -> dict:

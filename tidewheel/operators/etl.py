@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions.ids import norm_id
 from tidewheel.functions.stats import clean, quantile_bucket
+from tidewheel.operators import huge_groups
+from tidewheel.operators.features import is_large
 
 
 def matches_any(c: Column | str, keywords: list[str], excluded: list[str] = ()) -> Column:
@@ -78,8 +80,12 @@ def previous_date(events: DataFrame, dates: DataFrame, key: str, date: str, othe
     return events.join(found, [key, date], "left")
 
 
-def nested_buckets(df: DataFrame, cols: list[str], by: list[str], n: int = 5) -> DataFrame:
-    """0-based quantile bucket q_<col> of every column within the groups; all columns share one window."""
+def nested_buckets(df: DataFrame, cols: list[str], by: list[str], n: int = 5, large: bool | None = None) -> DataFrame:
+    """0-based quantile bucket q_<col> of every column within the groups; all columns share one window where no group is large."""
+    if is_large(df, by, large):
+        for c in cols:
+            df = huge_groups.quantile_buckets(df, c, f"q_{c}", by, n, 0)
+        return df
     w = Window.partitionBy(*by)
     return df.select("*", *[(quantile_bucket(clean(c), n, w) - 1).alias(f"q_{c}") for c in cols])
 
@@ -92,3 +98,13 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 def keyed_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows in the order of a hash of key and seed; the same rows at every run and partitioning."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def linked_returns(annual: DataFrame, links: DataFrame, key: str, other: str) -> DataFrame:
+    """Returns of `key` under every `other` that a link gives it; returns without a link are left out, several links fan out."""
+    return annual.join(links.select(key, other).distinct(), key).drop(key)
+
+
+def merge_returns(panel: DataFrame, returns: DataFrame, key: str, year: str) -> DataFrame:
+    """Panel rows with the returns of their key and year; rows without stay, several returns fan out."""
+    return panel.join(returns, [key, year], "left")

@@ -1,6 +1,6 @@
 """Cross-sectional features where a date holds more rows than one task should sort.
 
-The window forms in `features` give a date to one task. These give the same numbers from aggregates that merge
+The window forms in `features` give a date to one task, so they pass larger dates on to these. They give the same numbers from aggregates that merge
 map-side (moments), from histogram refinement (quantiles) and from counted values with two-level prefix sums
 (ranks); what is joined back has a row per date, or is salted for frequent values. The table is read several
 times, so hand in one that is stored or persisted.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.stats import clean
@@ -13,63 +13,79 @@ def month_end_dates(df: DataFrame, date: str) -> DataFrame:
     return df.where(F.col(date).isNotNull()).groupBy(F.date_trunc("month", date).cast("date").alias("month")).agg(F.max(date).alias("rebalance_date"))
 
 
-def equal_weights(df: DataFrame, date: str, entity: str, out: str = "weight") -> DataFrame:
+def _with_sums(df: DataFrame, keys: list[str], total: Column) -> DataFrame:
+    """`df` with `__s`, the total of the row's keys (dates and report groups, so few rows to join); null keys are keys."""
+    sums = F.broadcast(df.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(total.alias("__s")))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return df.join(sums, on, "left").drop(*[f"__k_{k}" for k in keys])
+
+
+def equal_weights(df: DataFrame, date: str, entity: str, out: str = "weight", by: list[str] | None = None) -> DataFrame:
     """1 / number of rows of the date whose entity is known."""
-    return df.withColumn(out, F.try_divide(F.lit(1.0), F.count(entity).over(Window.partitionBy(date))))
+    return _with_sums(df, [*(by or []), date], F.count(entity)).withColumn(out, F.try_divide(F.lit(1.0), F.col("__s"))).drop("__s")
 
 
-def value_weights(df: DataFrame, date: str, cap: str, out: str = "weight") -> DataFrame:
+def value_weights(df: DataFrame, date: str, cap: str, out: str = "weight", by: list[str] | None = None) -> DataFrame:
     """cap / sum of caps of the date; null caps get null."""
     c = clean(cap)
-    return df.withColumn(out, F.try_divide(c, F.sum(c).over(Window.partitionBy(date))))
+    return _with_sums(df, [*(by or []), date], F.sum(c)).withColumn(out, F.try_divide(c, F.col("__s"))).drop("__s")
+
 
+def weight_table(df: DataFrame, date: str, entity: str, weight: str = "weight", by: list[str] | None = None) -> DataFrame:
+    """(by,) date, entity, weight: the mean of repeated rows; what is missing counts as 0 elsewhere."""
+    return df.where(F.col(date).isNotNull() & F.col(entity).isNotNull() & F.col(weight).isNotNull()).groupBy(*(by or []), date, entity).agg(F.avg(weight).alias("weight"))
 
-def weight_table(df: DataFrame, date: str, entity: str, weight: str = "weight") -> DataFrame:
-    """date, entity, weight: the mean of repeated (date, entity) rows; what is missing counts as 0 elsewhere."""
-    return df.where(F.col(date).isNotNull() & F.col(entity).isNotNull() & F.col(weight).isNotNull()).groupBy(date, entity).agg(F.avg(weight).alias("weight"))
 
+def _next_dates(weights: DataFrame, date: str, by: list[str]) -> DataFrame:
+    """by, date, __next, __first: the next and the first date of the table; one row per date and report group."""
+    w = Window.partitionBy(*by).orderBy(date)
+    return weights.select(*by, date).distinct().withColumns({"__next": F.lead(date).over(w), "__first": F.min(date).over(w)})
 
-def _changes(weights: DataFrame, date: str, entity: str) -> DataFrame:
-    """date, entity, change: each entity's weight less that at the table's date before; the first date is left out.
+
+def _changes(weights: DataFrame, date: str, entity: str, by: list[str]) -> DataFrame:
+    """by, date, entity, change: each entity's weight less that at the table's date before; the first date is left out.
 
     Every weight enters at its date and leaves at the next one, so one aggregation replaces the dense matrix.
     """
-    dates = weights.select(date).distinct()
-    nxt = F.broadcast(dates.withColumn("__next", F.lead(date).over(Window.orderBy(date))))  # one row per date
-    first = dates.agg(F.min(date).alias("__first"))
-    w = weights.join(nxt, date)
-    moves = w.select(F.inline(F.array(F.struct(F.col(date).alias("__d"), F.col(entity).alias("__e"), F.col("weight").alias("__w")), F.struct(F.col("__next").alias("__d"), F.col(entity).alias("__e"), (-F.col("weight")).alias("__w"))))).where("__d is not null")
-    return moves.groupBy("__d", "__e").agg(F.sum("__w").alias("change")).join(F.broadcast(first), F.col("__d") > F.col("__first")).select(F.col("__d").alias(date), F.col("__e").alias(entity), "change")
+    w = weights.join(F.broadcast(_next_dates(weights, date, by)), [*by, date])
+    move = lambda at, weight: F.struct(at.alias("__d"), weight.alias("__w"))
+    moves = w.select(*by, F.col(entity).alias("__e"), "__first", F.inline(F.array(move(F.col(date), F.col("weight")), move(F.col("__next"), -F.col("weight"))))).where("__d > __first")
+    return moves.groupBy(*by, "__d", "__e").agg(F.sum("__w").alias("change")).select(*by, F.col("__d").alias(date), F.col("__e").alias(entity), "change")
 
 
-def turnover(weights: DataFrame, date: str, entity: str, factor: float = 0.5) -> DataFrame:
-    """date, turnover: factor x sum of absolute weight changes; 0 at the first date."""
-    t = _changes(weights, date, entity).groupBy(date).agg((F.sum(F.abs("change")) * factor).alias("turnover"))
-    return weights.select(date).distinct().join(t, date, "left").select(date, F.coalesce("turnover", F.lit(0.0)).alias("turnover"))
+def turnover(weights: DataFrame, date: str, entity: str, factor: float = 0.5, by: list[str] | None = None) -> DataFrame:
+    """(by,) date, turnover: factor x sum of absolute weight changes; 0 at the first date."""
+    keys = [*(by or []), date]
+    t = _changes(weights, date, entity, by or []).groupBy(*keys).agg((F.sum(F.abs("change")) * factor).alias("turnover"))
+    return weights.select(*keys).distinct().join(t, keys, "left").select(*keys, F.coalesce("turnover", F.lit(0.0)).alias("turnover"))
 
 
-def transaction_costs(weights: DataFrame, date: str, entity: str, cost_bps: float = 10.0) -> DataFrame:
-    """date, turnover (both sides, not halved), cost."""
-    return turnover(weights, date, entity, 1.0).withColumn("cost", F.col("turnover") * cost_bps / 1e4)
+def transaction_costs(weights: DataFrame, date: str, entity: str, cost_bps: float = 10.0, by: list[str] | None = None) -> DataFrame:
+    """(by,) date, turnover (both sides, not halved), cost."""
+    return turnover(weights, date, entity, 1.0, by).withColumn("cost", F.col("turnover") * cost_bps / 1e4)
 
 
-def contributions(weights: DataFrame, returns: DataFrame, date: str, entity: str, ret: str = "ret") -> DataFrame:
-    """date, entity, contribution: weight at the weight table's date before, times the return."""
-    dates = weights.select(date).distinct().withColumn("__next", F.lead(date).over(Window.orderBy(date)))
-    held = weights.join(F.broadcast(dates), date).where("__next is not null").select(F.col("__next").alias(date), entity, "weight")
-    return held.join(returns.select(date, entity, clean(ret).alias("__r")), [date, entity]).select(date, entity, (F.col("weight") * F.col("__r")).alias("contribution"))
+def contributions(weights: DataFrame, returns: DataFrame, date: str, entity: str, ret: str = "ret", by: list[str] | None = None) -> DataFrame:
+    """(by,) date, entity, contribution: weight at the weight table's date before, times the return."""
+    keys = by or []
+    held = weights.join(F.broadcast(_next_dates(weights, date, keys)), [*keys, date]).where("__next is not null").select(*keys, F.col("__next").alias(date), entity, "weight")
+    return held.join(returns.select(*keys, date, entity, clean(ret).alias("__r")), [*keys, date, entity]).select(*keys, date, entity, (F.col("weight") * F.col("__r")).alias("contribution"))
 
 
-def attribution(weights: DataFrame, returns: DataFrame, date: str, entity: str, ret: str = "ret") -> DataFrame:
-    """date, total_return: sum of contributions; 0 at dates without any (so at the first)."""
-    total = contributions(weights, returns, date, entity, ret).groupBy(date).agg(F.sum("contribution").alias("total_return"))
-    dates = weights.select(date).union(returns.select(date)).distinct()
-    return dates.join(total, date, "left").select(date, F.coalesce("total_return", F.lit(0.0)).alias("total_return"))
+def attribution(weights: DataFrame, returns: DataFrame, date: str, entity: str, ret: str = "ret", by: list[str] | None = None) -> DataFrame:
+    """(by,) date, total_return: sum of contributions; 0 at dates without any (so at the first)."""
+    keys = [*(by or []), date]
+    total = contributions(weights, returns, date, entity, ret, by).groupBy(*keys).agg(F.sum("contribution").alias("total_return"))
+    dates = weights.select(*keys).union(returns.select(*keys)).distinct()
+    return dates.join(total, keys, "left").select(*keys, F.coalesce("total_return", F.lit(0.0)).alias("total_return"))
 
 
-def top_contributors(contribution: DataFrame, entity: str, n: int = 10) -> DataFrame:
-    """The n entities of greatest mean contribution; ties by entity."""
-    return contribution.groupBy(entity).agg(F.avg("contribution").alias("mean_contribution")).orderBy(F.col("mean_contribution").desc(), entity).limit(n)
+def top_contributors(contribution: DataFrame, entity: str, n: int = 10, digits: int | None = None) -> DataFrame:
+    """The n entities of greatest mean contribution (rounded to `digits` before they are ordered); ties by entity."""
+    mean = F.avg("contribution") if digits is None else F.round(F.avg("contribution"), digits) + F.lit(0.0)
+    return contribution.where("contribution is not null").groupBy(entity).agg(mean.alias("mean_contribution")).orderBy(F.col("mean_contribution").desc(), entity).limit(n)
 
 
 def risk_metrics(series: DataFrame, ret: str = "ret", periods: int = 12, level: float = 0.05, by: list[str] | None = None) -> DataFrame:
@@ -88,9 +104,10 @@ def long_only_book(df: DataFrame, rank: str, n: int = 5, long: int = 5) -> DataF
     return df.where(F.col(rank) > (long - 1) / n)
 
 
-def average_holdings(weights: DataFrame, date: str) -> DataFrame:
-    """One row: mean number of entities with a positive weight per date."""
-    return weights.groupBy(date).agg(F.count_if(F.col("weight") > 0).alias("k")).agg(F.avg("k").alias("avg_holdings"))
+def average_holdings(weights: DataFrame, date: str, by: list[str] | None = None) -> DataFrame:
+    """One row (per group of `by`): mean number of entities with a positive weight per date."""
+    keys = by or []
+    return weights.groupBy(*keys, date).agg(F.count_if(F.col("weight") > 0).alias("k")).groupBy(*keys).agg(F.avg("k").alias("avg_holdings"))
 
 
 def sorted_groups(df: DataFrame, factor: str, by: list[str], groups: int, order: list) -> DataFrame:

@@ -205,7 +205,7 @@ def ic_summary(spark, sf):
     return out.select(*[r(c, c) for c in ("mean_ic", "std_ic", "pct_positive")], "n", r("icir", "icir"))
 
 
-_HORIZONS = " union all ".join(f"select {h} as horizon, date, factor as x, case when count(ret) over w{h} = {h} then product(1 + ret) over w{h} - 1 end as y from panel window w{h} as (partition by entity order by date rows between current row and {h - 1} following)" for h in range(1, 5))
+_HORIZONS = " union all ".join(f"select {h} as horizon, date, factor as x, case when count(ret) over w{h} = {h} then product(1 + ret) over w{h} - 1 end as y from panel window w{h} as (partition by entity order by date rows between current row and {h - 1} following)" for h in range(1, 13))
 
 
 @query(f"""with {Y}, every as ({_HORIZONS}), pairs as (select horizon, date, x, round(y, 12) as y from every where x is not null and y is not null),
@@ -213,10 +213,7 @@ ranked as (select horizon, date, {_sql_rank('x', 'horizon, date')} as rx, {_sql_
 i as (select d.horizon, d.date, ic from (select distinct horizon, date from every) d left join (select horizon, date, {_CORR.format(x='rx', y='ry')} as ic from ranked group by horizon, date) c on c.horizon = d.horizon and c.date = d.date)
 {_SUM.replace('select ', 'select horizon, ', 1)} group by horizon""")
 def factor_decay(spark, sf):
-    p = panel(spark, sf)
-    cum = F.array(*[F.struct(F.lit(h).alias("horizon"), F.round(research.forward_product(F.col("ret"), h, "entity", ["date"]), 12).alias("y")) for h in range(1, 5)])
-    long = p.select("date", "factor", cum.alias("c")).select("date", "factor", F.inline("c"))
-    out = research.ic_summary(research.rank_ic(long, "factor", "y", "date", ["horizon"]), ["horizon"])
+    out = research.factor_decay(panel(spark, sf), "factor", "ret", "date", "entity", 12, digits=12)
     return out.select("horizon", *[r(c, c) for c in ("mean_ic", "std_ic", "pct_positive")], "n", r("icir", "icir"))
 
 
@@ -285,11 +282,18 @@ def corr_matrix(spark, sf):
     return research.correlation_pairs(panel(spark, sf), _COLS).select("col_x", "col_y", r("corr", "corr"))
 
 
-@query(f"with {Y}, e as (select min(factor) as lo, max(factor) as hi from panel), b as (select cast(least(coalesce(floor((factor - lo) / nullif((hi - lo) / 50, 0)), 0) + 1, 50) as integer) as bin, lo, (hi - lo) / 50 as width from panel, e where factor is not null) select bin, {q('min(lo + (bin - 1) * width)', 4)} as low, count(*) as n from b group by bin")
+@query(f"with {Y}, e as (select min(factor) as lo, max(factor) as hi from panel), b as (select cast(least(coalesce(floor((factor - lo) / nullif((hi - lo) / 50, 0)), 0) + 1, 50) as integer) as bin, count(*) as n from panel, e where factor is not null group by 1), every as (select cast(unnest(generate_series(1, 50)) as integer) as bin) select every.bin, {q('lo + (every.bin - 1) * (hi - lo) / 50', 4)} as low, coalesce(n, 0) as n from e, every left join b on b.bin = every.bin")
 def histogram(spark, sf):
     return research.histogram(panel(spark, sf), "factor", 50).select("bin", r("low", "low", 4), "n")
 
 
+@query(f"""with {Y}, e as (select min(factor) as lo, max(factor) as hi, stddev_samp(factor) * power(count(factor), -0.2) as h, count(factor) as n from panel), g as (select cast(unnest(generate_series(0, 199)) as integer) as k)
+select {q('lo + (hi - lo) * (k / 199)', 2)} as x, {q('sum(exp(-0.5 * power((factor - lo - (hi - lo) * (k / 199)) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())) * 1e6', 6)} as density from panel, e, g where factor is not null group by k, lo, hi""")
+def kernel_density(spark, sf):
+    """Density of the factor at 200 points, in millionths."""
+    return research.kernel_density(panel(spark, sf), "factor").select(r("x", "x", 2), r(F.col("density") * 1e6, "density"))
+
+
 _FACTORS = ["factor", "orders", "cap"]
 
 
@@ -348,10 +352,10 @@ o as (select *, (c1 * c22 - c2 * c12) / (c11 * c22 - c12 * c12) as b1, (c2 * c11
 f as (select *, my - b1 * m1 - b2 * m2 as a, n * (cy - b1 * c1 - b2 * c2) as rss from o)"""
 
 
-@query(f"with {Y}, {_SCALED}, {_OLS2} select date, {q('a')} as coef_const, {q('b1')} as coef_x, {q('b2')} as coef_x2, {q('b1 / sqrt(rss / (n - 3) * c22 / (n * (c11 * c22 - c12 * c12)))', 4)} as tstat_x, {q('b2 / sqrt(rss / (n - 3) * c11 / (n * (c11 * c22 - c12 * c12)))', 4)} as tstat_x2, {q('1 - rss / (n * cy)')} as r_squared, n as n_obs from f")
+@query(f"with {Y}, {_SCALED}, {_OLS2} select date, {q('a')} as coef_const, {q('b1')} as coef_x, {q('b2')} as coef_x2, {q('b1 / sqrt(rss / (n - 3) * c22 / (n * (c11 * c22 - c12 * c12)))', 4)} as tstat_x, {q('b2 / sqrt(rss / (n - 3) * c11 / (n * (c11 * c22 - c12 * c12)))', 4)} as tstat_x2, {q('a / sqrt(rss / (n - 3) / n * (1 + (m1 * m1 * c22 - 2 * m1 * m2 * c12 + m2 * m2 * c11) / (c11 * c22 - c12 * c12)))', 4)} as tstat_const, {q('1 - rss / (n * cy)')} as r_squared, n as n_obs from f")
 def ols_multi(spark, sf):
     out = econometrics.cross_sectional_regression(_scaled(spark, sf), "y", ["x", "x2"], "date")
-    return out.select("date", r("coef_const", "coef_const"), r("coef_x", "coef_x"), r("coef_x2", "coef_x2"), r("tstat_x", "tstat_x", 4), r("tstat_x2", "tstat_x2", 4), r("r_squared", "r_squared"), "n_obs")
+    return out.select("date", r("coef_const", "coef_const"), r("coef_x", "coef_x"), r("coef_x2", "coef_x2"), r("tstat_x", "tstat_x", 4), r("tstat_x2", "tstat_x2", 4), r("tstat_const", "tstat_const", 4), r("r_squared", "r_squared"), "n_obs")
 
 
 def _sql_nw(of: str, by: str, lags: int = 3) -> str:
@@ -365,11 +369,13 @@ def _sql_nw(of: str, by: str, lags: int = 3) -> str:
 nw as (select {lead}avg(v) as mean, sqrt(greatest(sum(p0) + {weights}, 0)) / count(v) as se, count(v) as n from p {group})"""
 
 
-_NW_OUT = f"{q('mean')} as mean, {q('se')} as se, {q('mean / nullif(se, 0)', 4)} as tstat, n"
+#: Two-sided normal tail of {t} by Simpson's rule.
+_TAIL = "(1 - 2 / sqrt(2 * pi()) * abs({t}) / 3000 * (select sum(case when i in (0, 1000) then 1 when i % 2 = 1 then 4 else 2 end * exp(-0.5 * power(abs({t}) * i / 1000, 2))) from (select unnest(generate_series(0, 1000)) as i)))"
+_NW_OUT = f"{q('mean')} as mean, {q('se')} as se, {q('mean / nullif(se, 0)', 4)} as tstat, {q(_TAIL.format(t='(mean / nullif(se, 0))'))} as pvalue, n"
 
 
 def _nw_cols():
-    return [r("mean", "mean"), r("se", "se"), r("tstat", "tstat", 4), "n"]
+    return [r("mean", "mean"), r("se", "se"), r("tstat", "tstat", 4), r("pvalue", "pvalue"), "n"]
 
 
 @query(f"with {M}, {_SCALED}, {_OLS1}, long as (select 'const' as variable, date, a as v from o union all select 'x', date, b from o), {_sql_nw('long', 'variable')} select variable, {_NW_OUT} from nw")
@@ -393,13 +399,18 @@ def subsample_fm(spark, sf):
     return econometrics.subsample_analysis(_scaled(spark, sf), "y", ["x"], "date", "industry").select("industry", "variable", *_nw_cols())
 
 
-@query()
+_GRID = {"lower": [0.01, 0.05], "upper": [0.95, 0.99]}
+_SENSE = " union all ".join(f"select '{lo}' as lower, '{hi}' as upper, date, y, greatest(least(x, quantile_cont(x, {hi}) over d), quantile_cont(x, {lo}) over d) as x from scaled where x is not null window d as (partition by date)" for lo in _GRID["lower"] for hi in _GRID["upper"])
+
+
+@query(f"""with {Y}, scaled0 as (select date, ret as y, factor / 100000 as x from panel), scaled as (with scaled as (select * from scaled0) {_SENSE}), {_sql_ols('lower, upper, date')},
+long as (select 'const' as variable, lower, upper, date, a as v from o union all select 'x', lower, upper, date, b from o), {_sql_nw('long', 'lower, upper, variable')} select lower, upper, variable, {_NW_OUT} from nw""")
 def sensitivity(spark, sf):
     """Fama-MacBeth after winsorising at each pair of a grid."""
     def transform(df, lower, upper):
         return features.winsorize(df, "x", "x", ["date"], lower, upper)
 
-    return econometrics.sensitivity_analysis(_scaled(spark, sf), "y", ["x"], "date", {"lower": [0.01, 0.05], "upper": [0.95, 0.99]}, transform)
+    return econometrics.sensitivity_analysis(_scaled(spark, sf), "y", ["x"], "date", _GRID, transform).select("lower", "upper", "variable", *_nw_cols())
 
 
 @query(f"""with {Y}, {_SCALED}, d as (select date, row_number() over (order by date) as i, count(*) over () as k from (select distinct date from panel)),
@@ -451,9 +462,8 @@ def attribution(spark, sf):
 
 @query(f"with {M}, {_ATT} select entity, {q('avg(c)', 8)} as mean_contribution from con group by entity order by 2 desc, entity limit 10")
 def top_contributors(spark, sf):
-    c = portfolio.contributions(_weights(spark, sf), panel(spark, sf, "month"), "date", "entity").where("contribution is not null")
-    c = c.groupBy("entity").agg(r(F.avg("contribution"), "contribution", 8))
-    return portfolio.top_contributors(c, "entity").select("entity", F.col("mean_contribution"))
+    c = portfolio.contributions(_weights(spark, sf), panel(spark, sf, "month"), "date", "entity")
+    return portfolio.top_contributors(c, "entity", digits=8)
 
 
 @query(f"""with {M}, {_LS}, v as (select quantile_cont(ret, 0.05) as v from ls) select {q('stddev_pop(ret) * sqrt(12)')} as ann_vol, {q('coalesce(stddev_pop(case when ret < 0 then ret end) * sqrt(12), 0)')} as downside_dev,
@@ -488,12 +498,13 @@ def sorted_groups(spark, sf):
 _GROW_ATT = _GROW.replace("from ls where", "from att where")
 
 
-@query(f"with {M}, {_ATT}, {_GROW_ATT} select {q('avg(ret) * 12')} as ann_return, {q('stddev_pop(ret) * sqrt(12)')} as ann_vol, {q('avg(ret) * 12 / nullif(stddev_pop(ret) * sqrt(12), 0)', 5)} as sharpe, {q('min(growth / peak - 1)')} as max_drawdown, {q('arg_max(growth, date) - 1')} as cumulative_return, count(*) as n, {q('quantile_cont(ret, 0.05)')} as var from t")
+@query(f"with {M}, {_ATT}, {_GROW_ATT} select {q('avg(ret) * 12')} as ann_return, {q('stddev_pop(ret) * sqrt(12)')} as ann_vol, {q('avg(ret) * 12 / nullif(stddev_pop(ret) * sqrt(12), 0)', 5)} as sharpe, {q('min(growth / peak - 1)')} as max_drawdown, {q('arg_max(growth, date) - 1')} as cumulative_return, count(*) as n, {q('quantile_cont(ret, 0.05)')} as var, (select {q('avg(t)')} from (select date, case when any_value(i) = 1 then 0 else sum(abs(c)) / 2 end as t from ch join nxt using (date) group by date)) as avg_turnover from t")
 def benchmark_report(spark, sf):
-    """Performance and risk of the whole universe, weighted by value."""
+    """Performance, risk and average turnover of the whole universe, weighted by value."""
     series = portfolio.attribution(_weights(spark, sf), panel(spark, sf, "month"), "date", "entity").withColumnRenamed("total_return", "ret")
     out = research.performance_stats(series, "date").drop("n").crossJoin(F.broadcast(portfolio.risk_metrics(series).select("var", "n")))
-    return out.select(*[r(c, c) for c in ("ann_return", "ann_vol")], r("sharpe", "sharpe", 5), *[r(c, c) for c in ("max_drawdown", "cumulative_return")], "n", r("var", "var"))
+    out = out.crossJoin(F.broadcast(portfolio.turnover(_weights(spark, sf), "date", "entity").agg(F.avg("turnover").alias("avg_turnover"))))
+    return out.select(*[r(c, c) for c in ("ann_return", "ann_vol")], r("sharpe", "sharpe", 5), *[r(c, c) for c in ("max_drawdown", "cumulative_return")], "n", r("var", "var"), r("avg_turnover", "avg_turnover"))
 
 
 @query(f"with {M}, {_SCALED}, {_OLS1}, g as (select date, b / sqrt(rss / (n - 2) / sxx) as t from o) select count(*) as n_dates, cast(count(*) filter (abs(t) > 1.96) as bigint) as n_significant, cast(count(*) filter (t > 1.96) as bigint) as n_positive from g")
