@@ -239,11 +239,22 @@ def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
     return _encoded(docs, doc_id, text, vocabulary, True)
 
 
+#: Repeated ids that are sent to every task (some 50 MB at most).
+REPEATED = 1_000_000
+
+
 def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` (id and text) without repeated rows; only rows whose id occurs again are shuffled with their text."""
+    """`docs` (id and text) without repeated rows.
+
+    Up to REPEATED ids that occur again, only their rows are shuffled with their text, merged map-side first; beyond that all rows are.
+    """
     docs = docs.select(doc_id, text)
     again = docs.groupBy(doc_id).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col(doc_id).alias("__id"))
-    if again.isEmpty():
+    n = again.count()
+    if not n:
         return docs
+    if n > REPEATED:
+        return docs.distinct()
+    few = F.broadcast(again)
     same = docs[doc_id].eqNullSafe(F.col("__id"))
-    return docs.join(again, same, "left_anti").unionByName(docs.join(again, same, "left_semi").distinct())
+    return docs.join(few, same, "left_anti").unionByName(docs.join(few, same, "left_semi").distinct())
