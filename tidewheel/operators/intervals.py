@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Day number that stands for an end that is open; later than any date.
 OPEN = 4_000_000
-#: Slices of the first level of the reduction tree.
-SLICES = 16
+#: Days of a stretch in which an entity's intervals are merged first; it holds at most half as many disjoint ones.
+SLICE_DAYS = 1826
 
 
 def merge_sorted(entity, start, end):
@@ -99,8 +99,8 @@ def merged_intervals(df: DataFrame, entity: str, start: str, end: str, open_end:
     ).where("__k is not null and __s is not null and __e >= __s")
     schema = f"__k {kind}, __s bigint, __e bigint"
     lists = rows.mapInPandas(lambda fs: _combine(fs, ["__k"]), schema)
-    # the reduction tree: slices of an entity first, so that its lists never meet in one task unmerged
-    slices = lists.withColumn("__slice", F.pmod(F.xxhash64("__s", "__e"), F.lit(SLICES)).cast("int")).repartition("__k", "__slice")
+    # the reduction tree: an entity's stretches of time first, so that its lists never meet in one task unmerged
+    slices = lists.withColumn("__slice", F.floor(F.col("__s") / SLICE_DAYS).cast("int")).repartition("__k", "__slice")
     slices = slices.sortWithinPartitions("__k", "__slice", "__s", "__e").mapInPandas(lambda fs: _stream_merge(fs, ["__k", "__slice"]), f"__k {kind}, __slice int, __s bigint, __e bigint")
     whole = slices.select("__k", "__s", "__e").repartition("__k").sortWithinPartitions("__k", "__s", "__e").mapInPandas(lambda fs: _stream_merge(fs, ["__k"]), schema)
     # the complement: whole lists are disjoint, so each gap lies between a period and the next

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import types as types_
+
+
+T = TypeVar("T")
 
 
 def read_parquet(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, where: str | None = None) -> DataFrame:
@@ -22,7 +26,7 @@ def read_parquet(spark: SparkSession, path: str | list[str], columns: list[str]
     return df.select(*columns) if columns else df
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | types_.StructType | None = None) -> DataFrame:
     """CSV with a header; all strings unless a schema is given."""
     reader = spark.read.option("header", True)
     return (reader.schema(schema) if schema else reader).csv(path)
@@ -47,15 +51,31 @@ def write_reports(parts: dict[str, DataFrame], path: str, key: str = "factor") -
     write_parquet(reduce(DataFrame.unionByName, [d.withColumn(key, F.lit(k)) for k, d in parts.items()]), path, [key])
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def cached_stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
     """Result of a stage: read where it is complete, else built and written. An empty result keeps its schema."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if force or not fs.exists(hadoop):
+    if force or not _complete(spark, path):
         write_parquet(build(), path)
     return spark.read.parquet(path)
 
 
+def chunked_stage(spark: SparkSession, path: str, chunks: dict[str, T], build: Callable[[T], DataFrame], force: bool = False) -> DataFrame:
+    """Union of the results of all chunks (name -> what `build` takes, such as a date window and a batch of ids).
+
+    Every chunk has a folder of its own and is built only where it isn't complete, so a run that was cut short goes
+    on with the chunks that are left. All chunks have one schema; there must be at least one.
+    """
+    folders = []
+    for name, chunk in chunks.items():
+        folders.append(f"{path}/{name}")
+        cached_stage(spark, folders[-1], lambda c=chunk: build(c), force)
+    return spark.read.parquet(*folders)
+
+
 def date_chunks(start: dt.date, end: dt.date | None, max_days: int) -> list[tuple[dt.date, dt.date]]:
     """Contiguous inclusive windows of at most max_days days; the last is clipped, no end means today."""
     end = end or dt.date.today()
