@@ -175,13 +175,14 @@ def lexicon_of(pages: DataFrame) -> dict[str, dict[str, float]]:
         yield from _counted(found, pa)
 
     counts = pages.select("lang", "text").mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy("lang")))
-    rows = counts.where((F.col("n") >= FUNCTION_SHARE * F.col("total")) & ~F.col("word").rlike("^[0-9]") | F.col("word").isin(LINK, PRICE, LABEL)).collect()
-    whole = sum({r["lang"]: r["total"] for r in rows}.values())
+    counts = counts.persist()
+    least = LANGUAGE_SHARE * (counts.agg(F.sum("n")).first()[0] or 0)
+    kept = counts.withColumn("total", F.sum("n").over(Window.partitionBy("lang"))).where(F.col("total") >= least)
+    rows = kept.where((F.col("n") >= FUNCTION_SHARE * F.col("total")) & ~F.col("word").rlike("^[0-9]") | F.col("word").isin(LINK, PRICE, LABEL)).collect()
+    counts.unpersist()
     out: dict[str, dict[str, float]] = {}
     for r in rows:
-        if r["total"] >= LANGUAGE_SHARE * whole:
-            out.setdefault(r["lang"], {LINK: 0.5 / r["total"], PRICE: 0.5 / r["total"], LABEL: 0.5 / r["total"]})[r["word"]] = (r["n"] + 0.5) / r["total"]
+        out.setdefault(r["lang"], {LINK: 0.5 / r["total"], PRICE: 0.5 / r["total"], LABEL: 0.5 / r["total"]})[r["word"]] = (r["n"] + 0.5) / r["total"]
     return out
 
 
@@ -346,16 +347,16 @@ def fitted_curves(rows: DataFrame) -> DataFrame:
 _MEASURES = {"slope": 0.05, "residual": 0.03, **{f"c{r}": 0.03 for r in RANKS}}
 
 
-def references(curves: DataFrame) -> tuple[list[tuple], float, float]:
+def references(curves: DataFrame, languages: list[str]) -> tuple[list[tuple], float, float]:
     """Reference rows (lang, bin, then mean and deviation of each measure in prose, the same in code and output, mean share of function words), and the mean marks of prose and of code and output.
 
-    Bins are doubling lengths. A language's bin with fewer than 30 rows takes those of all languages, which stand
+    Bins are doubling lengths, `languages` those of the lexicon, so there are at most 32 rows for each of these. A language's bin with fewer than 30 rows takes those of all languages, which stand
     under the language null as well; a bin still without enough takes the nearest. No rows if there is no prose.
     """
     program = ~F.col("prose") & ~F.col("pooled") & (F.col("marks") >= PROGRAM) & (F.col("listed") < LISTED)
     base = curves.where("n >= 12").withColumns({"bin": F.least(F.floor(F.log2("n")), F.lit(31)).cast("int"), "program": program}).where("prose or program")
     agg = [F.count(F.lit(1)).alias("rows"), F.avg("known").alias("known"), F.sum("marks").alias("marks")] + [g(c).alias(f"{g.__name__}_{c}") for c in _MEASURES for g in (F.avg, F.stddev_pop)]
-    own = base.where("prose").groupBy("lang", "bin").agg(*agg).collect()  # bounded by languages x bins
+    own = base.where(F.col("prose") & F.col("lang").isin(languages)).groupBy("lang", "bin").agg(*agg).collect()
     every = base.groupBy("program", "bin").agg(*agg).collect()
     prose, code = ({r["bin"]: r for r in every if r["program"] == p} for p in (False, True))
     if not prose:
@@ -376,9 +377,9 @@ def references(curves: DataFrame) -> tuple[list[tuple], float, float]:
     return out, mean_marks[0], max(mean_marks[1], PROGRAM)
 
 
-def judged(curves: DataFrame) -> DataFrame:
+def judged(curves: DataFrame, languages: list[str]) -> DataFrame:
     """`curves` with `steep`, `loose` and `far` (deviations of slope, residual and divergence from the reference) and `spam`."""
-    reference, plain, marked = references(curves)
+    reference, plain, marked = references(curves, languages)
     names = [f"{kind}_{c}_{v}" for kind in ("p", "q") for c in _MEASURES for v in ("mean", "sd")]
     ref = F.broadcast(curves.sparkSession.createDataFrame(reference, "r_lang string, r_bin int, " + ", ".join(f"{c} double" for c in names) + ", p_known double"))
     known = sorted({r[0] for r in reference if r[0] is not None})
@@ -402,9 +403,10 @@ def spam_pages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
     prose there is nothing to compare curves with, and only links, prices and labels count.
     """
     pages = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("page"), _language(lang).alias("lang"), F.col(text).alias("text"))
-    rows = block_rows(pages, lexicon_of(pages)).persist()
+    lexicon = lexicon_of(pages)
+    rows = block_rows(pages, lexicon).persist()
     curves = fitted_curves(rows.where("block > -3")).persist()
-    each = judged(curves).select("doc_id", "page", "block", "n_text", "pooled", "prose", "spam")
+    each = judged(curves, sorted(lexicon)).select("doc_id", "page", "block", "n_text", "pooled", "prose", "spam")
     each = each.unionByName(rows.where("block = -3").distinct().select("doc_id", "page", "block", "n_text", "pooled", "prose", F.lit(False).alias("spam")))
     # the text outside programs is spam as a whole where its one curve is; prose alone only serves the reference
     sums = each.groupBy("doc_id", "page").agg(
