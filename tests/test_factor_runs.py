@@ -30,7 +30,7 @@ def same(a, b):
 
 def test_names(spark, wide):
     assert factor_runs.discovered(wide) == FACTORS
-    assert factor_runs.prefix("n_unique_connected_rank") == "" and factor_runs.prefix("a_rank") == "a_rank_"
+    assert factor_runs.report_name("decay", "n_unique_connected_rank") == "decay" and factor_runs.report_name("decay", "a_rank") == "a_rank_decay"
     kinds = spark.createDataFrame([("pc1_rank",), ("n_unique_connected_rank",), ("b_active_rank",), ("a_rank",)], "f string").select(factor_runs.category("f"))
     assert [r[0] for r in kinds.collect()] == ["PCA composite", "Connection count", "Active", "Cumulative"]
 

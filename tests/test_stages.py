@@ -91,3 +91,16 @@ def test_entry_point(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_members_and_linked_returns(spark):
+    df = spark.createDataFrame([("i1", "a", 1), ("i1", "b", None), ("i2", "c", 3), (None, "d", 4)], "idx string, id string, v int")
+    assert [tuple(r) for r in etl.members(df, "idx", "i1", {"id": "key", "v": "v"}, ["v"]).collect()] == [("a", 1)]
+    assert etl.members(df, "idx", "i1", {"id": "key"}).count() == 2
+    annual = spark.createDataFrame([(1, 2000, 0.1), (2, 2000, 0.2), (3, 2000, 0.3)], "permco int, year int, annual_return double")
+    links = spark.createDataFrame([(1, "g1"), (1, "g1"), (2, "g1"), (2, "g2"), (None, "g9")], "permco int, gvkey string")
+    linked = etl.linked_returns(annual, links, "permco", "gvkey")
+    assert sorted((r["gvkey"], r["annual_return"]) for r in linked.collect()) == [("g1", 0.1), ("g1", 0.2), ("g2", 0.2)]
+    panel = spark.createDataFrame([("d1", "g1", 2000), ("d2", "g2", 2001), ("d3", None, 2000)], "d string, gvkey string, year int")
+    got = etl.merge_returns(panel, linked, "gvkey", "year")
+    assert sorted((r["d"], r["annual_return"]) for r in got.where("annual_return is not null").collect()) == [("d1", 0.1), ("d1", 0.2)] and got.count() == 4

@@ -22,6 +22,12 @@ def matches_any(c: Column | str, keywords: list[str], excluded: list[str] = ())
     return F.coalesce(has, F.lit(False))
 
 
+def members(df: DataFrame, index: str, value: str, columns: dict[str, str], required: list[str] = ()) -> DataFrame:
+    """Rows of one index, with `columns` (name -> new name) and without those that lack a required one; the filter reaches the scan."""
+    rows = df.where(F.col(index) == value).dropna(subset=list(required)) if required else df.where(F.col(index) == value)
+    return rows.select(*[F.col(c).alias(n) for c, n in columns.items()])
+
+
 def roles_of(roles: DataFrame, ids: DataFrame, key: str, role: str, keywords: list[str], excluded: list[str] = ()) -> DataFrame:
     """Roles by keyword whose key occurs in `ids`: a semi join instead of a list of ids."""
     return roles.where(matches_any(role, keywords, excluded)).join(ids.select(key).distinct(), key, "left_semi")

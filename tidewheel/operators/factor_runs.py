@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tidewheel.operators import econometrics, features, portfolio, research
 
-#: Fixed value: the factor whose reports have no prefix.
+#: The factor whose reports go by their plain names, and the labels of the kinds of factors.
 PRIMARY = "n_unique_connected_rank"
+COMPOSITE, COUNT, ACTIVE, CUMULATIVE = "PCA composite", "Connection count", "Active", "Cumulative"
 
 
 def discovered(df: DataFrame, suffix: str = "_rank") -> list[str]:
@@ -19,15 +20,16 @@ def discovered(df: DataFrame, suffix: str = "_rank") -> list[str]:
     return sorted(c for c in df.columns if c.endswith(suffix))
 
 
-def prefix(factor: str, primary: str = PRIMARY) -> str:
-    """Prefix of a factor's outputs: none for the primary one."""
-    return "" if factor == primary else f"{factor}_"
+def report_name(report: str, factor: str, primary: str = PRIMARY) -> str:
+    """Name of a factor's report: the plain name for the primary factor, the factor's before it for the others."""
+    return "_".join([*([factor] if factor != primary else []), report])
 
 
-def category(name: Column | str, primary: str = PRIMARY) -> Column:
-    """Kind of a factor by its name."""
-    n = F.col(name) if isinstance(name, str) else name
-    return F.when(n.startswith("pc"), "PCA composite").when(n == primary, "Connection count").when(n.contains("_active_"), "Active").otherwise("Cumulative")
+def category(name: str, primary: str = PRIMARY) -> Column:
+    """Kind of the factor named in a column: composites begin with pc, counts are the primary factor, active ones say so."""
+    n = F.col(name)
+    kinds = {COMPOSITE: n.startswith("pc"), COUNT: n.eqNullSafe(F.lit(primary)), ACTIVE: n.contains("_active_")}
+    return F.coalesce(*[F.when(fits, F.lit(kind)) for kind, fits in kinds.items()], F.lit(CUMULATIVE))
 
 
 def stacked(df: DataFrame, factors: list[str], keep: list[str]) -> DataFrame:

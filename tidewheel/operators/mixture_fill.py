@@ -340,7 +340,8 @@ def fill_missing(df: DataFrame, group: str, time: str, numeric: dict[str, tuple[
 
 
 def fit_report(df: DataFrame, group: str, time: str, numeric: dict[str, tuple[float, float]], window: int, category: str | None = None, valid: tuple[int, int] | None = None, classes: int = 3, max_steps: int = 400, tolerance: float = 1e-5) -> DataFrame:
-    """n_rows, steps (passes over the rows), loglik (nats a row, with priors), converged: of the model that fill_missing fits."""
+    """n_rows, steps (passes over the rows), loglik (nats a row, with priors), converged: of the model that fill_missing fits; nothing without rows."""
     rows, width = with_donors(df, group, time, numeric, window, category, valid), 3 * len(numeric)
     model = fit(rows.select(*[f"__x{i}" for i in range(width)], "__cat"), width, classes, max_steps, tolerance)
-    return df.sparkSession.createDataFrame([(model.rows, model.steps, float(model.loglik / model.rows) if model.rows else None, model.converged)], "n_rows bigint, steps int, loglik double, converged boolean")
+    report = [(model.rows, model.steps, float(model.loglik / model.rows), model.converged)] if model.rows else []
+    return df.sparkSession.createDataFrame(report, "n_rows bigint, steps int, loglik double, converged boolean")

@@ -35,9 +35,10 @@ def query(sql: str | None = None):
 
 
 # ---------------------------------------------------------------- relational stages
-@query("select c_custkey as id, c_mktsegment as name, round(c_acctbal, 2) as balance from customer where c_acctbal is not null")
+@query("select c_custkey as id, c_name as name, c_mktsegment as segment from customer where c_mktsegment = 'BUILDING' and c_nationkey is not null")
 def universe(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"), F.round("c_acctbal", 2).alias("balance")).dropna(subset=["balance"])
+    """Members of one segment."""
+    return etl.members(table(spark, sf, "customer"), "c_mktsegment", "BUILDING", {"c_custkey": "id", "c_name": "name", "c_mktsegment": "segment"}, ["c_nationkey"])
 
 
 @query(f"""select {sql_norm_id('gvkey')} as gvkey, fyear, round("at", 3) as "at" from fundamentals where datadate >= date '2000-01-01' and {sql_norm_id('gvkey')} in (select {sql_norm_id('gvkey')} from linking_table where preferred = 1)""")
