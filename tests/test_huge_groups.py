@@ -56,6 +56,16 @@ def test_large_dates_take_the_other_way(rows, monkeypatch):
     assert glob == pytest.approx({r["id"]: r["o"] for r in features.winsorize(rows, "x", "o", None, 0.1, 0.8).collect()})
 
 
+def test_sorted_groups(rows):
+    from tidewheel.operators import portfolio
+
+    for groups in (1, 3, 10, 2000):
+        got, want = ({(r["id"], r["side"]) for r in portfolio.sorted_groups(rows, "x", ["d"], groups, ["id"], large).collect()} for large in (True, False))
+        assert got == want and want
+    assert portfolio.sorted_groups(rows, "x", ["d"], 3, ["id"], True).columns == [*rows.columns, "side"]
+    assert portfolio.sorted_groups(rows.limit(0), "x", ["d"], 3, ["id"], True).count() == 0
+
+
 def test_empty(rows):
     for f in CASES.values():
         assert f(huge_groups, rows.limit(0), {}).count() == 0

@@ -117,3 +117,22 @@ def rank_feature(df: DataFrame, col: str, out: str, by: list[str], pct: bool = T
     if not pct:
         return d.withColumnRenamed("__r", out)
     return _attach(d, rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")), by).withColumn(out, F.col("__r") / F.col("__n")).drop("__r", "__n")
+
+
+def _places(df: DataFrame, by: list[str], order: list, descending: bool) -> DataFrame:
+    """`df` (with __u) and the number of rows of the group before each in the order of __u, then `order`."""
+    u = F.bitwise_not("__u") if descending else F.col("__u")
+    ends = df.agg(F.min("__u"), F.max("__u")).first()
+    shift = max(0, ((ends[1] or 0) - (ends[0] or 0)).bit_length() - 14)
+    rows = df.withColumns({"__key": F.struct(*by), "__w": u, "__piece": F.shiftright(u, shift), "__one": F.lit(1).cast("bigint")})
+    name = "__high" if descending else "__low"
+    return prefix_sums(rows, ["__key"], "__piece", ["__w", *order], "__one", name).drop("__key", "__w", "__piece", "__one")
+
+
+def sorted_groups(df: DataFrame, factor: str, by: list[str], groups: int, order: list) -> DataFrame:
+    """As portfolio.sorted_groups; rows of equal value are one task's work."""
+    rows = _encode(df.withColumn("__x", clean(factor)), "__x")
+    rows = _places(_places(rows, by, order, True), by, order, False)
+    d = _attach(rows, rows.groupBy(*by).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / groups)).alias("__size")), by)
+    side = F.when(F.col("__high") < F.col("__size"), "high").when(F.col("__low") < F.col("__size"), "low")
+    return d.withColumn("side", side).where("side is not null").drop("__x", "__u", "__high", "__low", "__size")

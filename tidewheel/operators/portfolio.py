@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.stats import clean
+from tidewheel.operators import huge_groups
+from tidewheel.operators.features import is_large
 
 
 def month_end_dates(df: DataFrame, date: str) -> DataFrame:
@@ -110,12 +112,14 @@ def average_holdings(weights: DataFrame, date: str, by: list[str] | None = None)
     return weights.groupBy(*keys, date).agg(F.count_if(F.col("weight") > 0).alias("k")).groupBy(*keys).agg(F.avg("k").alias("avg_holdings"))
 
 
-def sorted_groups(df: DataFrame, factor: str, by: list[str], groups: int, order: list) -> DataFrame:
+def sorted_groups(df: DataFrame, factor: str, by: list[str], groups: int, order: list, large: bool | None = None) -> DataFrame:
     """`side` 'high' or 'low' for the max(1, n // groups) best and worst rows of each group; others are left out.
 
-    `order` are the tie-breaking columns; nulls of the factor don't count.
+    `order` are the tie-breaking columns; nulls and NaN of the factor don't count. See features for `large`.
     """
-    d = df.where(F.col(factor).isNotNull())
+    if is_large(df, by, large):
+        return huge_groups.sorted_groups(df, factor, by, groups, order)
+    d = df.where(clean(factor).isNotNull())
     size = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(Window.partitionBy(*by)) / groups))
     hi = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(factor).desc(), *order))
     lo = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(factor).asc(), *order))
