@@ -251,3 +251,47 @@ def test_pagerank_query_has_converged(spark):
     want = np.linalg.solve(np.eye(n) - 0.85 * step, np.full(n, 0.15 / n))
     got = of(relations.pagerank(spark, SF), "pagerank")
     assert [got[i] for i in ids] == pytest.approx(list(want), abs=1.1e-9)
+
+
+def hubs_and_leaves(rng, count=400):
+    """Links of some hubs with many nodes of one or two neighbours, a path, and two nodes only linked to each other."""
+    links = {tuple(sorted((rng.randrange(12), 20 + k))) for k in range(count) for _ in range(rng.choice((1, 1, 2, 3)))}
+    return sorted(links | {(0, 1), (2, 3)} | {(1000 + k, 1001 + k) for k in range(9)} | {(2000, 2001)})
+
+
+def test_searches_of_many_sources_at_once():
+    import numpy as np
+    from tidewheel.operators.graph_arrays import BitSearch, Folded
+
+    g = Folded(*np.array(hubs_and_leaves(random.Random(3))).T)
+    assert 0 < len(g.core) < len(g.ids) and g.weight.sum() == len(g.ids) and (np.diff(g.start) > BitSearch.PIECE).any()
+    far = np.full((len(g.core), len(g.core)), -1)
+    for s in range(len(g.core)):
+        far[s, s], queue = 0, [s]
+        for v in queue:
+            for w in g.adj[g.start[v] : g.start[v + 1]]:
+                if far[s, w] < 0:
+                    far[s, w] = far[s, v] + 1
+                    queue.append(w)
+    search = BitSearch(g.start, g.adj)
+    for sources in (np.arange(len(g.core)), np.arange(0, len(g.core), 7)):
+        found, reached, total = search.distances(sources, g.weight)
+        there, w = far[sources] >= 0, g.weight[sources][:, None]
+        assert (found == there.sum(axis=0)).all() and (reached == (there * w).sum(axis=0)).all() and (total == (there * w * far[sources]).sum(axis=0)).all()
+
+
+def test_closeness_of_hubs_and_leaves(spark):
+    edges = [(str(a), str(b)) for a, b in hubs_and_leaves(random.Random(4), 60)] + [("x", "x")]
+    close, _ = brute_paths(edges, sorted({x for e in edges for x in e}))
+    assert of(graph.closeness(pairs(spark, edges)), "closeness") == pytest.approx(close)
+
+
+def test_betweenness_of_hubs_and_leaves(spark):
+    import numpy as np
+
+    edges = [(str(a), str(b)) for a, b in hubs_and_leaves(random.Random(4), 60)] + [("x", "x")]
+    _, between = brute_paths(edges, sorted({x for e in edges for x in e}))
+    assert of(graph.betweenness(pairs(spark, edges)), "betweenness") == pytest.approx(between)
+    # ends of paths count by weight: leaves are not searched
+    size, delta = graph._search(np.array([0, 1, 3, 4]), np.array([1, 0, 2, 1]), np.array([0]), np.array([3, 1, 2]))
+    assert list(size) == [6] and list(delta) == [0, 6, 0]
