@@ -295,3 +295,18 @@ def test_betweenness_of_hubs_and_leaves(spark):
     # ends of paths count by weight: leaves are not searched
     size, delta = graph._search(np.array([0, 1, 3, 4]), np.array([1, 0, 2, 1]), np.array([0]), np.array([3, 1, 2]))
     assert list(size) == [6] and list(delta) == [0, 6, 0]
+
+
+@pytest.mark.parametrize("mode", ["cumulative", "active"])
+def test_network_panel_in_arrays_matches_joins(spark, mode):
+    rng = random.Random(21)
+    rows = [(*(rng.sample("abcdefghijkl", 2) if rng.random() < 0.95 else "zz"), rng.randint(1998, 2004), rng.choice([None, rng.randint(1999, 2005)])) for _ in range(40)] + [("q", "q", 1990, None)]
+    e = spark.createDataFrame(rows, "s string, t string, a int, b int")
+    where = (mode, 1999, 2004, "s", "t", "a", "b")
+    got, want = ({(r["year"], r["node_id"]): r for r in graph.network_panel(e, *where, most_pairs=n).collect()} for n in (graph.MOST_PAIRS, 0))
+    assert got.keys() == want.keys() and len({y for y, _ in got}) == 6
+    for k, r in want.items():
+        assert list(r.asDict()) == list(got[k].asDict())
+        for c in r.asDict():
+            assert got[k][c] == (r[c] if r[c] is None else pytest.approx(r[c], abs=1e-8)), (k, c)
+    assert graph.network_panel(e.limit(0), *where).count() == 0
