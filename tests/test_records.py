@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 import random
 from collections import Counter
 
@@ -240,3 +241,16 @@ def test_reference_status(spark):
     assert reference_status(r.limit(0), p).count() == 0
     assert {x["status"] for x in reference_status(r, p.limit(0)).collect()} == {"missing"}
     assert {x["status"] for x in reference_status(r, p.drop("valid_to").where("ref_key = '6' and valid_from = 1990 or ref_key = '4'")).collect()} == {"missing", "deleted"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_p2_found_has_the_marks_of_the_fitted_mixture(spark, monkeypatch):
+    from tidewheel.operators import mixture_fill
+    from tidewheel.plans import records
+
+    sf, fit, models = "/root/testdata/sf0.001", mixture_fill.fit, []
+    monkeypatch.setattr(mixture_fill, "fit", lambda *a: models.append(fit(*a)) or models[-1])
+    got = {tuple(r) for r in records.p2_found(spark, sf).collect()}
+    assert len(models) == 2 and all(m.converged for m in models)
+    marked = mixture_fill.mark_missing(*records._panel(spark, sf, "panel_with_returns")).where("siccd_filled")
+    assert {r[2:] for r in got if r[1] == "siccd"} == {tuple(r) for r in marked.select("dirid_starting", "gvkey", "year").collect()}

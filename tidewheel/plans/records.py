@@ -9,7 +9,7 @@ from tidewheel.functions.ids import is_deleted, is_open_end, norm_id, sql_delete
 from tidewheel.operators.asof import known_at
 from tidewheel.operators.intervals import merged_intervals
 from tidewheel.operators.keyed_selection import frequent_values, per_key_profile, per_key_quantiles
-from tidewheel.operators.mixture_fill import fill_missing, fit_report, mark_missing
+from tidewheel.operators.mixture_fill import fill_missing, fit_report
 from tidewheel.operators.orphans import reference_status
 from tidewheel.operators.skew import skew_safe_left_join
 
@@ -70,9 +70,11 @@ def _panel(spark: SparkSession, sf: str, name: str) -> tuple:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The marks of all values that the fitted mixture fills."""
+
     def cases(name: str, fields: list[str]) -> DataFrame:
         marks = F.array(*[F.when(F.col(f"{f}_filled"), F.lit(f)) for f in fields])
-        return mark_missing(*_panel(spark, sf, name)).select(F.lit(name).alias("table_name"), F.explode(F.array_compact(marks)).alias("field"), "dirid_starting", "gvkey", "year")
+        return fill_missing(*_panel(spark, sf, name)).select(F.lit(name).alias("table_name"), F.explode(F.array_compact(marks)).alias("field"), "dirid_starting", "gvkey", "year")
 
     return cases("merged_panel", ["mkvalt", "sale"]).unionByName(cases("panel_with_returns", ["siccd"])).distinct()
 
