@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import os
+import pickle
 import random
 from collections import Counter
 
@@ -137,6 +138,54 @@ def test_fill_finds_a_known_mixture(spark):
     assert isinstance(again, Model) and np.allclose(again.cov, model.cov) and np.allclose(again.table, model.table) and np.allclose(again.weight, model.weight)
 
 
+def test_fit_plans_no_query_a_pass(spark):
+    """The driver keeps every query's plan, so passes that are queries fill its memory."""
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(rng.gauss(6 * (i % 2), 1), rng.gauss(0, 1) if i % 3 else None, i % 2) for i in range(400)], "__x0 double, __x1 double, __cat bigint")
+    bus, queries = spark._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore().executionsCount
+    bus.waitUntilEmpty(30_000)
+    before = queries()
+    model = fit(rows, 2, 2, 400, 1e-7)
+    bus.waitUntilEmpty(30_000)
+    assert model.converged and model.steps >= 6 and queries() - before <= 2
+
+
+def test_sums_of_a_pass_over_blocks(spark):
+    """Against the expectations row by row, for all patterns of missing numbers, negative codes and weights; any number of partitions."""
+    import numpy as np
+    import pandas as pd
+
+    from tidewheel.operators.mixture_fill import _pack, _statistics, _summed, expect
+
+    rng = np.random.default_rng(2)
+    n, d, k = 900, 3, 2
+    x = rng.normal(2, 1, (n, d))
+    x[rng.random((n, d)) < 0.4] = np.nan
+    cat = rng.integers(-3, 2, n).astype(float)
+    cat[rng.random(n) < 0.2] = np.nan
+    w = rng.integers(1, 5, n).astype(float)
+    low = rng.normal(0, 1, (k, d, d))
+    table = rng.random((k, 5))
+    model = Model(np.array([0.3, 0.7]), rng.normal(2, 1, (k, d)), low @ low.transpose(0, 2, 1) + np.eye(d), {c: c + 3 for c in range(-3, 2)}, table / table.sum(axis=1, keepdims=True))
+    frame = pd.DataFrame({f"__x{i}": x[:, i] for i in range(d)} | {"__cat": cat, "__w": w})
+    rows = spark.createDataFrame([(*(None if math.isnan(v) else v for v in a), None if math.isnan(c) else int(c), int(v)) for a, c, v in zip(x.tolist(), cat, w)], "__x0 double, __x1 double, __x2 double, __cat bigint, __w bigint")
+    got = []
+    for parts in (1, 40):
+        blocks = rows.repartition(parts).mapInPandas(lambda fs: _pack(fs, d), "block binary").rdd.map(lambda r: pickle.loads(r[0]))
+        assert blocks.getNumPartitions() == parts
+        got.append(_summed(blocks, lambda bs: _statistics(bs, model), np.add))
+    assert np.allclose(got[0], got[1], rtol=1e-9)
+    r, filled, extra, like = expect(model, x, np.where(np.isnan(cat), -1, cat + 3).astype("int64"))
+    size = 1 + d + d * d
+    assert got[0][k * size] == pytest.approx(w @ like)
+    for j in range(k):
+        own, dev = r[:, j] * w, filled[j] - model.mean[j]
+        second = (dev * own[:, None]).T @ dev + sum(own[at].sum() * covs[j] for at, covs in extra)
+        assert np.allclose(got[0][j * size : (j + 1) * size], [own.sum(), *(own @ dev), *second.ravel()])
+        assert np.allclose(got[0][k * size + 1 :].reshape(k, -1)[j], [own[cat == c].sum() for c in model.cats])
+    assert len(list(_pack(iter([frame, frame.head(0)]), d))) == 1 and not list(_pack(iter([frame.head(0)]), d))
+
+
 def test_guesses_beat_the_group_mean(spark):
     """Held out: values follow the year of their group more than the group."""
     rng = random.Random(3)

@@ -5,15 +5,18 @@ Gaussian given the class, the category is multinomial given the class, and missi
 out. A row's numbers are the logs of its values and, of its donors (records of the same group, the row itself left
 out), the mean logs of those within a window of time and of those of the same time. A missing number is filled with its
 conditional expectation, a category with its conditional mode given the group's records. Every step sums sufficient
-statistics over the partitions; the driver only holds the model.
+statistics over the partitions; the driver only holds the model. The rows are kept as blocks of arrays, so that a step is
+a plain job of one stage and neither plans a query nor converts rows.
 """
 
 from __future__ import annotations
 
+import pickle
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ RIDGE = 1e-3
 PRIOR, SMOOTH = 1.0, 0.01
 #: Most codes a category may have, so that a class's table is bounded.
 MOST_CODES = 20_000
+#: Rows of a block, and partitions whose sums may go to the driver at once; those of more are added up in tasks first.
+BLOCK, AT_ONCE = 65_536, 32
 
 
 @dataclass
@@ -65,6 +70,28 @@ class Model:
         return Model(share(w), mean.reshape(k, d), factor @ factor.transpose(0, 2, 1), self.cats, share(table.reshape(k, -1)) if self.table is not None else None)
 
 
+def _given(model: Model, o, m) -> list[tuple]:
+    """Of every class: precision and log determinant of the numbers o, and gain and covariance of the numbers m given those."""
+    import numpy as np
+
+    out = []
+    for s in model.cov:
+        low = s[np.ix_(o, o)]
+        inv = np.linalg.inv(low) if len(o) else low
+        gain = s[np.ix_(m, o)] @ inv
+        out.append((inv, np.linalg.slogdet(low)[1] if len(o) else 0.0, gain, s[np.ix_(m, m)] - gain @ s[np.ix_(o, m)]))
+    return out
+
+
+def _shares(logp):
+    """Responsibilities and log likelihoods from the classes' log densities (n x K)."""
+    import numpy as np
+
+    top = logp.max(axis=1, keepdims=True)
+    like = top[:, 0] + np.log(np.exp(logp - top).sum(axis=1))
+    return np.exp(logp - like[:, None]), like
+
+
 def expect(model: Model, x, cat):
     """Responsibilities (n x K), conditional means (K x n x d), conditional covariances by row pattern, log likelihoods."""
     import numpy as np
@@ -78,26 +105,18 @@ def expect(model: Model, x, cat):
         rows = np.flatnonzero(pattern == p)
         o, m = np.flatnonzero(seen[rows[0]]), np.flatnonzero(~seen[rows[0]])
         xo, covs = x[np.ix_(rows, o)], np.zeros((k, d, d))
-        for j in range(k):
-            mu, s = model.mean[j], model.cov[j]
-            filled[j][rows] = mu
-            covs[j][np.ix_(m, m)] = s[np.ix_(m, m)]
-            if len(o):
-                inv = np.linalg.inv(s[np.ix_(o, o)])
-                dev = xo - mu[o]
-                logp[rows, j] -= 0.5 * (np.einsum("ij,jk,ik->i", dev, inv, dev) + np.linalg.slogdet(s[np.ix_(o, o)])[1] + len(o) * np.log(2 * np.pi))
-                filled[j][np.ix_(rows, o)] = xo
-                if len(m):
-                    gain = s[np.ix_(m, o)] @ inv
-                    filled[j][np.ix_(rows, m)] = mu[m] + dev @ gain.T
-                    covs[j][np.ix_(m, m)] -= gain @ s[np.ix_(o, m)]
+        for j, (inv, det, gain, rest) in enumerate(_given(model, o, m)):
+            dev = xo - model.mean[j][o]
+            logp[rows, j] -= 0.5 * (((dev @ inv) * dev).sum(axis=1) + det + len(o) * np.log(2 * np.pi))
+            filled[j][np.ix_(rows, o)] = xo
+            filled[j][np.ix_(rows, m)] = model.mean[j][m] + dev @ gain.T
+            covs[j][np.ix_(m, m)] = rest
         extra.append((rows, covs))
     if model.table is not None:
         known = np.flatnonzero(cat >= 0)
         logp[known] += np.log(np.maximum(model.table[:, cat[known]].T, 1e-300))
-    top = logp.max(axis=1, keepdims=True)
-    like = top[:, 0] + np.log(np.exp(logp - top).sum(axis=1))
-    return np.exp(logp - like[:, None]), filled, extra, like
+    r, like = _shares(logp)
+    return r, filled, extra, like
 
 
 def _features(f, width: int, cats: dict):
@@ -108,59 +127,116 @@ def _features(f, width: int, cats: dict):
     return x, cat
 
 
-def _statistics(frames: Iterator, model: Model, width: int) -> Iterator:
+def _pack(frames: Iterator, width: int) -> Iterator:
+    """Blocks of up to about BLOCK rows, pickled: for every pattern of seen numbers (and category, the highest bit) the numbers, codes and weights."""
     import numpy as np
     import pandas as pd
 
-    k, d = len(model.weight), width
-    base = k * (1 + d + d * d)
-    total = np.zeros(base + 1 + (model.table.size if model.table is not None else 0))
+    def block(held: list):
+        f = pd.concat(held)
+        x = np.column_stack([f[f"__x{i}"].to_numpy("float64") for i in range(width)]) if width else np.empty((len(f), 0))
+        coded = f["__cat"].notna().to_numpy()
+        cat, w = f["__cat"].fillna(0).to_numpy("int64"), f["__w"].to_numpy("float64")
+        pattern = ~np.isnan(x) @ (1 << np.arange(width)) + (coded.astype("int64") << width)
+        parts = []
+        for p in np.unique(pattern):
+            at = np.flatnonzero(pattern == p)
+            o = [i for i in range(width) if p >> i & 1]
+            parts.append((int(p), x[np.ix_(at, o)], cat[at] if p >> width else None, w[at]))
+        return pd.DataFrame({"block": [pickle.dumps(parts, 5)]})
+
+    held, n = [], 0
     for f in frames:
         if f.empty:
             continue
-        x, cat = _features(f, width, model.cats)
-        w = f["__w"].to_numpy("float64")
-        r, filled, extra, like = expect(model, x, cat)
-        r = r * w[:, None]
-        for j in range(k):
-            at = j * (1 + d + d * d)
-            total[at] += r[:, j].sum()
-            total[at + 1 : at + 1 + d] += r[:, j] @ filled[j]
-            second = (filled[j] * r[:, j, None]).T @ filled[j]
-            for rows, covs in extra:
-                second += r[rows, j].sum() * covs[j]
-            total[at + 1 + d : at + 1 + d + d * d] += second.ravel()
-        total[base] += w @ like
-        if model.table is not None:
-            known = cat >= 0
-            for j in range(k):
-                total[base + 1 + j * model.table.shape[1] :][: model.table.shape[1]] += np.bincount(cat[known], weights=r[known, j], minlength=model.table.shape[1])
-    at = np.flatnonzero(total)
-    yield pd.DataFrame({"i": at.astype("int32"), "v": total[at]})
-
-
-def _step(rows: DataFrame, model: Model, n: int, spread) -> tuple[Model, float]:
+        held.append(f)
+        n += len(f)
+        if n >= BLOCK:
+            yield block(held)
+            held, n = [], 0
+    if held:
+        yield block(held)
+
+
+def _summed(blocks: RDD, of, add):
+    """`add` over what `of` makes of every partition's blocks; None without partitions."""
+    n = blocks.getNumPartitions()
+    return blocks.mapPartitions(lambda bs: [of(bs)]).treeReduce(add, depth=1 if n <= AT_ONCE else 2) if n else None
+
+
+def _totals(blocks: Iterator, width: int, centre) -> tuple:
+    """Weight, and by number the weights, sums and squares of its deviations from `centre`; codes."""
+    import numpy as np
+
+    total, codes = np.zeros(1 + 3 * width), set()
+    for p, x, cat, w in (part for b in blocks for part in b):
+        total[0] += w.sum()
+        o = np.array([i for i in range(width) if p >> i & 1], dtype="int64")
+        dev = x - centre[o]
+        total[1 + o] += w.sum()
+        total[1 + width + o] += w @ dev
+        total[1 + 2 * width + o] += w @ dev**2
+        if cat is not None:
+            codes.update(np.unique(cat).tolist())
+    return total, codes
+
+
+def _statistics(blocks: Iterator, model: Model):
+    """Of every class: weight, and sums and products of the deviations from its mean; the log likelihood; weights of the codes."""
+    import numpy as np
+
+    k, d = model.mean.shape
+    size, levels = 1 + d + d * d, np.array(list(model.cats), dtype="int64")  # in ascending order
+    total = np.zeros(k * size + 1 + (model.table.size if model.table is not None else 0))
+    classes, given = total[: k * size].reshape(k, size), {}
+    by_code = total[k * size + 1 :].reshape(k, -1)
+    prior = np.log(np.maximum(model.weight, 1e-300))
+    table = np.log(np.maximum(model.table.T, 1e-300)) if model.table is not None else None
+    for p, x, cat, w in (part for b in blocks for part in b):
+        at = p & ((1 << d) - 1)
+        if at not in given:
+            o, m = (np.array([i for i in range(d) if (at >> i & 1) == is_seen], dtype="int64") for is_seen in (1, 0))
+            given[at] = o, m, _given(model, o, m)
+        o, m, parts = given[at]
+        logp, devs = np.tile(prior, (len(w), 1)), []
+        for j, (inv, det, _, _) in enumerate(parts):
+            devs.append(dev := x - model.mean[j][o])
+            logp[:, j] -= 0.5 * (((dev @ inv) * dev).sum(axis=1) + det + len(o) * np.log(2 * np.pi))
+        if cat is not None:
+            code = np.searchsorted(levels, cat)
+            logp += table[code]
+        r, like = _shares(logp)
+        r *= w[:, None]
+        total[k * size] += w @ like
+        for j, (_, _, gain, rest) in enumerate(parts):
+            whole, own = np.empty((d, len(o))), r[:, j]  # from deviations of the seen numbers to expected ones of all
+            whole[o], whole[m] = np.eye(len(o)), gain
+            second = whole @ (devs[j].T @ (devs[j] * own[:, None])) @ whole.T
+            second[np.ix_(m, m)] += own.sum() * rest
+            classes[j] += np.concatenate([[own.sum()], whole @ (own @ devs[j]), second.ravel()])
+            if cat is not None:
+                by_code[j] += np.bincount(code, weights=own, minlength=len(levels))
+    return total
+
+
+def _step(blocks: RDD, model: Model, n: int, spread) -> tuple[Model, float]:
     """One step of expectation and maximisation over all rows, and the log likelihood (with priors) of the model before it."""
     import numpy as np
 
     k, d = model.mean.shape
-    got = rows.mapInPandas(lambda fs, m=model: _statistics(fs, m, d), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    total = _summed(blocks, lambda bs, m=model: _statistics(bs, m), np.add)
     base = k * (1 + d + d * d)
-    total = np.zeros(base + 1 + (model.table.size if model.table is not None else 0))
-    for i, v in got:
-        total[i] = v
     draw, prior = RIDGE * n / k, np.diag(spread**2)
     like = total[base] - 0.5 * draw * sum(np.linalg.slogdet(c)[1] + np.trace(np.linalg.solve(c, prior)) for c in model.cov) + (SMOOTH * np.log(np.maximum(model.table, 1e-300)).sum() if model.table is not None else 0.0)
     weight, mean, cov = model.weight.copy(), model.mean.copy(), model.cov.copy()
-    for j in range(k):
-        at = j * (1 + d + d * d)
-        m = total[at]
+    for j, (m, *rest) in enumerate(total[:base].reshape(k, -1)):
         weight[j] = max(m / n, 1e-12)
         if m < 1e-6:
             cov[j] = prior
             continue  # an empty class keeps its place
-        mean[j] = total[at + 1 : at + 1 + d] / m
-        c = total[at + 1 + d : at + 1 + d + d * d].reshape(d, d) / m - np.outer(mean[j], mean[j])
+        dev = np.array(rest[:d]) / m
+        mean[j] += dev
+        c = np.array(rest[d:]).reshape(d, d) / m - np.outer(dev, dev)
         cov[j] = (m * (c + c.T) / 2 + draw * prior) / (m + draw)
     table = None
     if model.table is not None:
@@ -178,22 +254,28 @@ def fit(rows: DataFrame, width: int, classes: int, max_steps: int, tolerance: fl
     """
     import numpy as np
 
-    agg = [F.count(F.lit(1)).alias("n")] + [g(f"__x{i}").alias(f"{g.__name__}{i}") for i in range(width) for g in (F.avg, F.stddev_pop)]
-    s = rows.agg(*agg).first()
-    centre = np.array([s[f"avg{i}"] if s[f"avg{i}"] is not None else 0.0 for i in range(width)])
-    spread = np.array([max(s[f"stddev_pop{i}"] or 1.0, 1e-3) for i in range(width)])
-    levels = [r[0] for r in rows.where("__cat is not null").select("__cat").distinct().orderBy("__cat").collect()]  # at most MOST_CODES
+    merged = rows.groupBy(*[f"__x{i}" for i in range(width)], "__cat").agg(F.count(F.lit(1)).alias("__w"))
+    blocks = merged.mapInPandas(lambda fs: _pack(fs, width), "block binary").rdd.map(lambda r: pickle.loads(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
+    both = lambda a, b: (a[0] + b[0], a[1] | b[1])
+    none = np.zeros(1 + 3 * width), set()
+    total, codes = _summed(blocks, lambda bs: _totals(bs, width, np.zeros(width)), both) or none
+    count, sums, _ = total[1:].reshape(3, -1)
+    centre = np.where(count > 0, sums / np.maximum(count, 1), 0.0)
+    _, rest, squares = (_summed(blocks, lambda bs: _totals(bs, width, centre), both) or none)[0][1:].reshape(3, -1)
+    deviation = np.sqrt(np.maximum(squares / np.maximum(count, 1) - (rest / np.maximum(count, 1)) ** 2, 0.0))
+    spread = np.maximum(np.where(deviation > 1e-9 * np.maximum(np.abs(centre), 1.0), deviation, 1.0), 1e-3)
+    levels = sorted(codes)  # at most MOST_CODES
     shares = np.full((classes, len(levels)), 1 / len(levels)) if levels else None
-    model = Model(np.full(classes, 1 / classes), np.array([centre + spread * (j - (classes - 1) / 2) for j in range(classes)]), np.array([np.diag(spread**2)] * classes), {c: i for i, c in enumerate(levels)}, shares, rows=s["n"])
-    if not s["n"]:
+    n, steps, converged, like = int(total[0]), 0, False, float("-inf")
+    model = Model(np.full(classes, 1 / classes), np.array([centre + spread * (j - (classes - 1) / 2) for j in range(classes)]), np.array([np.diag(spread**2)] * classes), {c: i for i, c in enumerate(levels)}, shares, rows=n)
+    if not n:
+        blocks.unpersist()
         return model
-    merged = rows.groupBy(*[f"__x{i}" for i in range(width)], "__cat").agg(F.count(F.lit(1)).alias("__w")).persist()
-    n, steps, converged, like = s["n"], 0, False, float("-inf")
 
     def step(m: Model) -> tuple[Model, float]:
         nonlocal steps
         steps += 1
-        return _step(merged, m, n, spread)
+        return _step(blocks, m, n, spread)
 
     while not converged and steps < max_steps:
         one, before = step(model)
@@ -209,7 +291,7 @@ def fit(rows: DataFrame, width: int, classes: int, max_steps: int, tolerance: fl
         except np.linalg.LinAlgError:
             got = float("nan")
         model, like = (far, got) if got >= like else (two, like)
-    merged.unpersist()
+    blocks.unpersist()
     if not converged:
         warnings.warn(f"the mixture still gains after {steps} passes", RuntimeWarning, stacklevel=2)
     model.steps, model.rows, model.loglik, model.converged = steps, n, like, converged
