@@ -65,6 +65,23 @@ def test_skew_safe_join_keeps_everything(spark):
     assert out.count() == 3001 and out.where("k is not null and (v is null or v <> concat(k, '!'))").count() == 0 and out.where("k is null and v is null").count() == 1
 
 
+def test_skew_safe_join_counts_another_table(spark):
+    """Hot keys come from `counted`, so the larger table isn't run once more for that."""
+    own = spark.range(1000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), "id")
+    small = own.select("k").distinct().withColumn("v", F.concat("k", F.lit("!")))
+    ran = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for f in frames:
+            ran.add(len(f))
+            yield f
+
+    big = own.mapInPandas(seen, own.schema)
+    out = skew_safe_left_join(big, small, ["k"], total=1000, least=500, counted=own).collect()
+    assert ran.value == 1000
+    assert sorted(r["id"] for r in out) == list(range(1000)) and all(r["v"] == r["k"] + "!" for r in out)
+
+
 def test_prefix_sums(spark):
     df = spark.createDataFrame([("s", i % 5, i, i + 1) for i in range(40)], "k string, c int, o int, v int")
     got = {r["o"]: r["b"] for r in prefix_sums(df, ["k"], "c", ["o"], "v", "b").collect()}

@@ -298,8 +298,8 @@ def fit(rows: DataFrame, width: int, classes: int, max_steps: int, tolerance: fl
     return model
 
 
-def with_donors(df: DataFrame, group: str, time: str, numeric: dict[str, tuple[float, float]], window: int, category: str | None = None, valid: tuple[int, int] | None = None) -> DataFrame:
-    """`df` with its features: __x<i> (logs of the values), then of the window's donors, then of those of the same time; __cat; __codes (the group's categories with their counts).
+def with_features(df: DataFrame, group: str, time: str, numeric: dict[str, tuple[float, float]], window: int, category: str | None = None, valid: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """`df` with its features: __x<i> (logs of the values), then of the window's donors, then of those of the same time; __cat; the same before anything is joined; their rows.
 
     Donors are merged by (group, time) before anything is joined, and joined with frequent groups spread out.
     """
@@ -308,29 +308,35 @@ def with_donors(df: DataFrame, group: str, time: str, numeric: dict[str, tuple[f
     m = len(numeric)
     rows = df.withColumns({f"__x{i}": F.when((F.col(c) > lo) & (F.col(c) < hi), F.log(F.col(c).cast("double"))) for i, (c, (lo, hi)) in enumerate(numeric.items())})
     rows = rows.withColumn("__cat", F.when(F.col(category).between(*valid), F.col(category).cast("bigint")) if category else F.lit(None).cast("bigint"))
-    rows = rows.withColumns({"__g": F.col(group), "__t": F.col(time).cast("bigint")})
+    rows = own = rows.withColumns({"__g": F.col(group), "__t": F.col(time).cast("bigint")})
+    total = df.count()
     if m:
         per = rows.where("__g is not null and __t is not null").groupBy("__g", "__t").agg(*[g(f"__x{i}").alias(f"__{g.__name__}{i}") for i in range(m) for g in (F.sum, F.count)])
         near = per.withColumn("__off", F.explode(F.sequence(F.lit(-window), F.lit(window)))).withColumn("__t", F.col("__t") + F.col("__off"))
         sums = [F.sum(F.col(f"__{g}{i}") if at == "w" else F.when(F.col("__off") == 0, F.col(f"__{g}{i}"))).alias(f"__{g}{at}{i}") for i in range(m) for g in ("sum", "count") for at in ("w", "s")]
-        rows = skew_safe_left_join(rows, near.groupBy("__g", "__t").agg(*sums), ["__g", "__t"])
+        rows = skew_safe_left_join(rows, near.groupBy("__g", "__t").agg(*sums), ["__g", "__t"], total)
         for k, at in enumerate(("w", "s"), 1):
             for i in range(m):
-                own = F.when(F.col(f"__x{i}").isNotNull(), 1).otherwise(0)
-                others = F.coalesce(F.col(f"__count{at}{i}"), F.lit(0)) - own
+                given = F.when(F.col(f"__x{i}").isNotNull(), 1).otherwise(0)
+                others = F.coalesce(F.col(f"__count{at}{i}"), F.lit(0)) - given
                 rows = rows.withColumn(f"__x{k * m + i}", F.when(others > 0, (F.col(f"__sum{at}{i}") - F.coalesce(F.col(f"__x{i}"), F.lit(0.0))) / others))
         rows = rows.drop(*[f"__{g}{at}{i}" for i in range(m) for g in ("sum", "count") for at in ("w", "s")])
+    return rows, own, total
+
+
+def with_codes(rows: DataFrame, own: DataFrame, total: int, category: str | None = None) -> DataFrame:
+    """What with_features returns, as one table with __codes (the group's categories with their counts)."""
     if category:
-        counts = rows.where("__g is not null and __cat is not null").groupBy("__g", "__cat").agg(F.count(F.lit(1)).alias("__n"))
+        counts = own.where("__g is not null and __cat is not null").groupBy("__g", "__cat").agg(F.count(F.lit(1)).alias("__n"))
         codes = counts.groupBy("__g").agg(F.array_sort(F.collect_list(F.struct("__cat", "__n"))).alias("__codes"))  # at most MOST_CODES
-        return skew_safe_left_join(rows, codes, ["__g"])
+        return skew_safe_left_join(rows, codes, ["__g"], total, counted=own)
     return rows.withColumn("__codes", F.lit(None).cast("array<struct<__cat: bigint, __n: bigint>>"))
 
 
 def mark_missing(df: DataFrame, group: str, time: str, numeric: dict[str, tuple[float, float]], window: int, category: str | None = None, valid: tuple[int, int] | None = None) -> DataFrame:
     """`df` with `<column>_filled`: whether fill_missing fills it. The same stages up to the donors, without a model."""
     df = df.drop(*[f"{c}_filled" for c in [*numeric, *([category] if category else [])]])
-    rows, m = with_donors(df, group, time, numeric, window, category, valid), len(numeric)
+    rows, m = with_codes(*with_features(df, group, time, numeric, window, category, valid), category), len(numeric)
     marks = [(F.col(f"__x{i}").isNull() & F.col(f"__x{m + i}").isNotNull()).alias(f"{c}_filled") for i, c in enumerate(numeric)]
     if category:
         marks.append((F.col("__cat").isNull() & F.col("__codes").isNotNull()).alias(f"{category}_filled"))
@@ -353,11 +359,14 @@ def fill_missing(df: DataFrame, group: str, time: str, numeric: dict[str, tuple[
     every = [*names, *([category] if category else [])]
     made = [f"{c}_{x}" for c in every for x in ("value", "filled", *(["guess"] if guess else []))]
     df = df.drop(*made)
-    rows = with_donors(df, group, time, numeric, window, category, valid)
+    rows, own, total = with_features(df, group, time, numeric, window, category, valid)
     m = len(names)
     width = 3 * m
     model = fit(rows.select(*[f"__x{i}" for i in range(width)], "__cat"), width, classes, max_steps, tolerance)
     shared = spark.sparkContext.broadcast(model)
+    rows = with_codes(rows, own, total, category).drop("__g", "__t")
+    if not guess:
+        rows = rows.withColumn("__codes", F.when(F.col("__cat").isNull(), F.col("__codes")))  # the others aren't asked
     kinds = [(c, "double") for c in names] + ([(category, "bigint")] if category else [])
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{c}_value` {t}, `{c}_filled` boolean" + (f", `{c}_guess` {t}" if guess else "") for c, t in kinds])
     columns, ends = df.columns, list(numeric.values())
@@ -423,7 +432,7 @@ def fill_missing(df: DataFrame, group: str, time: str, numeric: dict[str, tuple[
 
 def fit_report(df: DataFrame, group: str, time: str, numeric: dict[str, tuple[float, float]], window: int, category: str | None = None, valid: tuple[int, int] | None = None, classes: int = 3, max_steps: int = 400, tolerance: float = 1e-5) -> DataFrame:
     """n_rows, steps (passes over the rows), loglik (nats a row, with priors), converged: of the model that fill_missing fits; nothing without rows."""
-    rows, width = with_donors(df, group, time, numeric, window, category, valid), 3 * len(numeric)
+    rows, width = with_features(df, group, time, numeric, window, category, valid)[0], 3 * len(numeric)
     model = fit(rows.select(*[f"__x{i}" for i in range(width)], "__cat"), width, classes, max_steps, tolerance)
     report = [(model.rows, model.steps, float(model.loglik / model.rows), model.converged)] if model.rows else []
     return df.sparkSession.createDataFrame(report, "n_rows bigint, steps int, loglik double, converged boolean")

@@ -24,17 +24,17 @@ def hot_keys(df: DataFrame, keys: list[str], total: int, share: float = HOT_SHAR
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(int(share * total), least))
 
 
-def skew_safe_left_join(big: DataFrame, small: DataFrame, keys: list[str], total: int | None = None, share: float = HOT_SHARE, least: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+def skew_safe_left_join(big: DataFrame, small: DataFrame, keys: list[str], total: int | None = None, share: float = HOT_SHARE, least: int = HOT_ROWS, salts: int = SALTS, counted: DataFrame | None = None) -> DataFrame:
     """Left join where `small` has one row per key and `big` may have keys with any number of rows.
 
     The hot keys of `big` are counted with map-side aggregation; their rows are spread over `salts` slices,
     and only their (at most 1 / share) rows of `small` are repeated. Null keys match nothing, but are spread
-    too. No row of either side is dropped.
+    too. No row of either side is dropped. `counted`, if given, has the same keys as often as `big` and is cheaper to count.
     """
     total = big.count() if total is None else total
     if total < least:
         return big.join(small, keys, "left")
-    hot = F.broadcast(hot_keys(big, keys, total, share, least).select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__hot")))
+    hot = F.broadcast(hot_keys(big if counted is None else counted, keys, total, share, least).select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__hot")))
     is_hot = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys])
     drop = [f"__h_{k}" for k in keys] + ["__hot"]
     spread = F.pmod(F.xxhash64(*[F.col(c) for c, t in big.dtypes if not t.startswith(("map", "variant"))]), F.lit(salts)).cast("int")
